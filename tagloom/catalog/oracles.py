@@ -336,3 +336,4 @@ ORACLES = {
           LEFT JOIN hits s ON s.q_id = r.q_id AND s.tag = c.tag)
         WHERE rank <= 5""",
 }
+ORACLES["stream_recommend"] = ORACLES["recommend_top10"]

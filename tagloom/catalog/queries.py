@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import schemas
 from tagloom.catalog import views as V
 from tagloom.functions import cleaning, porter
 from tagloom.functions import text as X
 from tagloom.operators import clusters, features, posts, scoring, segment, svm, terms
 from tagloom.operators import tags as T
-from tagloom.session import stage
+from tagloom.session import shared_dir, stage
+from tagloom.streaming import recommend as stream
 
 CHUNK = 400  # records per chunk in `chunk_ids`, so that every scale has several chunks
 
@@ -141,13 +145,23 @@ def _indexed(spark, d) -> DataFrame:
     return segment.indexed(segment.with_split(V.questions(spark, d)))
 
 
+def _index(spark, d) -> DataFrame:
+    """Ids and tags of the indexed questions; the original wrote its index to disk here."""
+    return stage(_indexed(spark, d).select("q_id", "tags"))
+
+
+def _popular(spark, d) -> DataFrame:
+    """The whitelist, another file of the original."""
+    return stage(V.popular(V.questions(spark, d)))
+
+
 def _holdout(spark, d) -> DataFrame:
     return V.with_content(segment.holdout(segment.with_split(V.questions(spark, d))))
 
 
 def _pairs(spark, d) -> DataFrame:
-    """The training set is a stage boundary of the original too: it was written to files."""
-    return stage(segment.training_pairs(_indexed(spark, d), V.popular(V.questions(spark, d))))
+    """The training set, written to files by the original as well."""
+    return stage(segment.training_pairs(_index(spark, d), _popular(spark, d)))
 
 
 def positives(spark, d):
@@ -155,23 +169,21 @@ def positives(spark, d):
 
 
 def negatives(spark, d):
-    q = _indexed(spark, d)
-    return segment.negatives(q, positives(spark, d))
+    index = _index(spark, d)
+    return segment.negatives(index, segment.positives(T.question_tag(index), _popular(spark, d)))
 
 
 def segment_counts(spark, d):
-    return segment.segment_counts(
-        segment.training_pairs(_indexed(spark, d), V.popular(V.questions(spark, d)))
-    )
+    return segment.segment_counts(segment.training_pairs(_index(spark, d), _popular(spark, d)))
 
 
 def training_rows(spark, d):
-    pairs = segment.training_pairs(_indexed(spark, d), V.popular(V.questions(spark, d)))
+    pairs = segment.training_pairs(_index(spark, d), _popular(spark, d))
     return segment.training_rows(pairs, V.questions(spark, d))
 
 
 def training_rows_with_label_text(spark, d):
-    pairs = segment.training_pairs(_indexed(spark, d), V.popular(V.questions(spark, d)))
+    pairs = segment.training_pairs(_index(spark, d), _popular(spark, d))
     return segment.training_rows(pairs, V.questions(spark, d), append_label_text=True)
 
 
@@ -295,6 +307,13 @@ def embedding_lloyd_step(spark, d):
     )
 
 
+def kmeans_fit(spark, d):
+    """Sizes of the clusters a fit finds in the texts (the start is random)."""
+    w = _corpus(spark, d)
+    centroids = clusters.fit(w.features, w.members, k=6)
+    return clusters.cluster_sizes(clusters.assign(w.features, w.members, centroids))
+
+
 def _text_centroids(spark, d, corpus: features.Weighted) -> DataFrame:
     """First centroids of the texts: the mean vector of each popular tag's questions."""
     pos = positives(spark, d)
@@ -337,6 +356,20 @@ def recommend_routed_top5(spark, d):
     ).select("q_id", "cluster_id", "rank", "tag", r6("score").alias("score"))
 
 
+def stream_recommend(spark, d):
+    """The held-out questions as a stream of files, scored batch by batch."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    model = _model(spark, d)
+    _holdout(spark, d).select("q_id", "content").write.parquet(f"{base}/in")
+    stream.start(
+        stream.question_stream(spark, f"{base}/in"),
+        lambda batch: scoring.recommend(batch, model),
+        f"{base}/out", f"{base}/progress", available_now=True,
+    ).awaitTermination()
+    scored = spark.read.schema(schemas.RECOMMENDATION).parquet(f"{base}/out")
+    return scored.select("q_id", "rank", "tag", r6("score").alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -347,6 +380,6 @@ QUERIES = {
         tokens_plain, tokens_stem, term_counts_plain, postings, vocabulary, doc_frequency, idf,
         tfidf_per_tag, tfidf_global, svm_weights, svm_margins, recommend_top10, split_80_20,
         accuracy_report, embedding_assign, embedding_lloyd_step, kmeans_assign, lloyd_step,
-        cluster_members, cluster_tag_set, recommend_routed_top5,
+        cluster_members, cluster_tag_set, recommend_routed_top5, kmeans_fit, stream_recommend,
     )
 }

@@ -5,8 +5,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tagloom.operators.sharding import default_shards, hash_shard, join_in_shards
@@ -15,6 +18,7 @@ from tagloom.session import stage
 MAX_ITER = 1000
 TOL = 1e-6
 RUNS = 3
+MAX_DENSE = 1 << 24
 
 
 def dense_rows(vectors: DataFrame, id_col: str, vector_col: str, shards: int | None = None) -> DataFrame:
@@ -116,6 +120,23 @@ def seeds(features: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:
     return mean_vectors(features, numbered.select("cluster_id", "q_id"))
 
 
+def to_vectors(features: DataFrame, docs: DataFrame, numbers: DataFrame, size: int) -> DataFrame:
+    """ML-1, ML-2: one sparse vector per document, (q_id, features). ``numbers`` gives each term
+    its index; documents without any term get an empty vector."""
+    entries = features.join(numbers, "term").groupBy("q_id").agg(
+        F.array_sort(F.collect_list(F.struct("term_id", "x"))).alias("e")
+    )
+    none = F.array().cast("array<struct<term_id:int,x:double>>")
+    full = docs.select("q_id").join(entries, "q_id", "left").withColumn("e", F.coalesce("e", none))
+    parts = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"),
+        F.col("e.term_id").alias("indices"), F.col("e.x").alias("values"),
+    )
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    parsed = F.from_json(F.to_json(F.struct(parts.alias("v"))), schema)
+    return full.select("q_id", parsed["v"].alias("features"))
+
+
 def fit(
     features: DataFrame,
     docs: DataFrame,
@@ -124,11 +145,54 @@ def fit(
     tol: float = TOL,
     runs: int = RUNS,
     seed: int = 1,
+    max_dense: int = MAX_DENSE,
+) -> DataFrame:
+    """ML-7: k-means, the cheapest of ``runs`` starts, as centroids (cluster_id, term, v).
+
+    ``pyspark.ml``'s k-means keeps k dense centroids on the driver and in every task. It is used
+    while they are small (k x terms <= ``max_dense`` numbers); beyond, ``fit_table`` does
+    the same iterations with centroids as a table.
+    """
+    numbers = features.select("term").distinct()
+    size = numbers.count()
+    if size == 0 or k * size > max_dense:
+        return fit_table(features, docs, k, max_iter, tol, runs, seed)
+    spark = features.sparkSession
+    in_order = Window.partitionBy(F.lit(0)).orderBy("term")  # at most max_dense / k rows
+    numbers = stage(
+        numbers.select("term", (F.row_number().over(in_order) - 1).cast("int").alias("term_id"))
+    )
+    vectors = to_vectors(features, docs, numbers, size).persist()
+    best = None
+    for run in range(runs):
+        model = KMeans(
+            k=k, maxIter=max_iter, tol=tol, initMode="k-means||", seed=seed + run
+        ).fit(vectors)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    vectors.unpersist()
+    rows = [
+        (c, int(i), float(vector[i]))
+        for c, vector in enumerate(best.clusterCenters())
+        for i in vector.nonzero()[0]
+    ]
+    table = spark.createDataFrame(rows, "cluster_id int, term_id int, v double")
+    return stage(table.join(numbers, "term_id").select("cluster_id", "term", "v"))
+
+
+def fit_table(
+    features: DataFrame,
+    docs: DataFrame,
+    k: int,
+    max_iter: int = MAX_ITER,
+    tol: float = TOL,
+    runs: int = RUNS,
+    seed: int = 1,
 ) -> DataFrame:
-    """ML-7: k-means by Lloyd iterations on sparse centroids, the cheapest of ``runs`` starts.
+    """k-means by Lloyd iterations on sparse centroids.
 
-    Centroids stay a table, so neither the vocabulary nor k dense vectors must fit the driver.
-    A round sends centroid rows to the shards and brings per-cluster sums back.
+    Neither the vocabulary nor a dense centroid must fit the driver: a round sends centroid rows
+    to the shards and brings per-cluster sums back.
     """
     features = features.persist()
     best, best_cost = None, float("inf")

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.sharding import hash_shard, join_in_shards
+from tagloom.operators.sharding import hash_shard, join_in_shards, keep_clustering
 
 MIN_DF = 4  # kept terms occur in more than three documents
-DOCS_PER_SHARD = 16_384
+DOCS_PER_SHARD = 1_024
 
 
 @dataclass
@@ -20,6 +20,11 @@ class Weighted:
     members: DataFrame  # tag, shard, q_id, n_docs (+ label)
     idf: DataFrame  # tag, term, df, n_docs, idf
     features: DataFrame  # tag, shard, q_id, term, x; clustered on (tag, shard)
+    held: tuple[DataFrame, ...] = ()  # persisted inputs of the above
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def tag_sizes(pairs: DataFrame) -> DataFrame:
@@ -75,10 +80,12 @@ def weigh(pairs: DataFrame, terms: DataFrame, min_df: int = MIN_DF,
           docs_per_shard: int = DOCS_PER_SHARD) -> Weighted:
     """Vectors of all documents of all tags. Documents without a kept term have no feature row
     but stay in ``members`` and count in N (ML-2)."""
+    keep_clustering(pairs.sparkSession)
     members = in_shards(pairs, docs_per_shard)
-    sharded = tag_terms(members, terms)
-    idf = inverse_frequency(document_frequency(sharded), tag_sizes(pairs), min_df)
-    return Weighted(members, idf, tf_idf(sharded, idf))
+    # placed and counted once; everything below reads it where it lies
+    sharded = tag_terms(members, terms).persist()
+    idf = inverse_frequency(document_frequency(sharded), tag_sizes(pairs), min_df).persist()
+    return Weighted(members, idf, tf_idf(sharded, idf), (sharded, idf))
 
 
 def corpus_pairs(docs: DataFrame) -> DataFrame:

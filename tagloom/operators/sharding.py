@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.session import shuffle_partitions
@@ -26,17 +26,28 @@ def default_shards(df: DataFrame) -> int:
     return 2 * shuffle_partitions(df.sparkSession)
 
 
+def keep_clustering(spark: SparkSession) -> None:
+    """Let a join use tables that already lie on a part of its keys, here the shard columns.
+
+    By default Spark spreads both sides again on all join keys, as a guard against skew; shards
+    are bounded, so they need no guard, and the large side is spared a shuffle.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def join_in_shards(
     rows: DataFrame,
     values: DataFrame,
     shard: Sequence[str],
     key: Sequence[str],
-    how: str = "inner",
 ) -> DataFrame:
     """Join ``rows`` (already clustered on ``shard``) with ``values`` on ``key``.
 
     ``values`` must not hold the shard columns unless they are part of ``key``.
     """
+    keep_clustering(rows.sparkSession)
     need = rows.select(*shard, *[k for k in key if k not in shard]).distinct()
-    copies = need.join(values, list(key)).repartition(*shard)
-    return rows.join(copies, list(dict.fromkeys([*shard, *key])), how)
+    # the copies of one partition are distinct keys of its rows, far fewer than the rows, so
+    # they are hashed and the rows need no sort
+    copies = need.join(values, list(key)).repartition(*shard).hint("shuffle_hash")
+    return rows.join(copies, list(dict.fromkeys([*shard, *key])))

@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.features import DOCS_PER_SHARD, Weighted, tag_sizes
+from tagloom.operators.features import Weighted, tag_sizes
 from tagloom.operators.sharding import join_in_shards
 from tagloom.session import stage
 
 ROUNDS = 20
 STEP = 1.0
 REG = 0.01
+DOCS_PER_TASK = 16_384
 
 
 def _factor(i: int) -> tuple[float, float]:
@@ -35,8 +36,8 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
 
 
-def _train_shard(rounds: int):
-    """All rounds for a tag whose documents are one shard: nothing has to leave the task."""
+def _train_in_task(rounds: int):
+    """All rounds for one tag of bounded size: nothing has to leave the task."""
 
     def fit(rows: pa.Table) -> pa.Table:
         term, terms = _codes(rows["term"])
@@ -92,14 +93,14 @@ def train(
     weighted: Weighted,
     split: Column | None = None,
     rounds: int = ROUNDS,
-    docs_per_shard: int = DOCS_PER_SHARD,
+    docs_per_task: int = DOCS_PER_TASK,
 ) -> DataFrame:
     """Weights (tag, term, w) of every tag in ``weighted``, whose members carry ``label``.
 
     ``split``, a condition on q_id, trains on a part of the documents; n is then the size of
-    that part. Tags within one shard are trained inside their task, larger ones in rounds
-    over the cluster; both use the same update and every document. Features are clustered on
-    (tag, shard) already, so neither way moves them.
+    that part. Tags of at most ``docs_per_task`` documents are brought together and trained
+    inside a task; larger ones in rounds over the cluster, their features staying where they
+    lie. Both use the same update and every document.
     """
     members, features = weighted.members, weighted.features
     if split is not None:
@@ -112,17 +113,18 @@ def train(
             (F.lit(2.0) * F.col("label") - F.lit(1.0)).alias("sign"),
         )
         .repartition("tag", "shard")
+        .hint("shuffle_hash")
     )
     rows = features.join(labels, ["tag", "shard", "q_id"])
-    one_shard = F.col("n_all") <= docs_per_shard
+    in_task = F.col("n_all") <= docs_per_task
     fitted = (
-        rows.where(one_shard)
-        .select("tag", "shard", "q_id", "term", "x", "sign", "n_docs")
-        .groupBy("tag", "shard")
-        .applyInArrow(_train_shard(rounds), "tag string, term string, w double")
+        rows.where(in_task)
+        .select("tag", "q_id", "term", "x", "sign", "n_docs")
+        .groupBy("tag")
+        .applyInArrow(_train_in_task(rounds), "tag string, term string, w double")
     )
-    if not weighted.members.where(F.col("n_docs") > docs_per_shard).isEmpty():
-        fitted = fitted.unionByName(_train_spread(rows.where(~one_shard), rounds))
+    if not weighted.members.where(F.col("n_docs") > docs_per_task).isEmpty():
+        fitted = fitted.unionByName(_train_spread(rows.where(~in_task), rounds))
     # terms no training document holds have weight 0 but still count as kept terms
     return weighted.idf.select("tag", "term").join(fitted, ["tag", "term"], "left").select(
         "tag", "term", F.coalesce("w", F.lit(0.0)).alias("w")
@@ -165,11 +167,11 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 
 def evaluate(weighted: Weighted, seed: int = 11, rounds: int = ROUNDS,
-             docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+             docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
     """ML-6: train on 80 %, report accuracy per tag on the rest. As in the original, idf comes
     from all documents, before the split."""
     split = in_train_split(seed)
-    weights = train(weighted, split, rounds, docs_per_shard)
+    weights = train(weighted, split, rounds, docs_per_task)
     test = Weighted(
         weighted.members.where(~split), weighted.idf, weighted.features.where(~split)
     )
