@@ -156,7 +156,8 @@ def _popular(spark, d) -> DataFrame:
 
 
 def _holdout(spark, d) -> DataFrame:
-    return V.with_content(segment.holdout(segment.with_split(V.questions(spark, d))))
+    """The held-out questions, a file of the original too."""
+    return stage(segment.holdout_rows(segment.with_split(V.questions(spark, d))))
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -345,12 +346,12 @@ def cluster_members(spark, d):
 
 
 def cluster_tag_set(spark, d):
-    return clusters.cluster_tags(_clustered(spark, d)[2], T.question_tag(_indexed(spark, d)))
+    return clusters.cluster_tags(_clustered(spark, d)[2], T.question_tag(_index(spark, d)))
 
 
 def recommend_routed_top5(spark, d):
     corpus, centroids, placed = _clustered(spark, d)
-    tags = clusters.cluster_tags(placed, T.question_tag(_indexed(spark, d)))
+    tags = stage(clusters.cluster_tags(placed, T.question_tag(_index(spark, d))))
     return scoring.recommend_routed(
         _holdout(spark, d), _model(spark, d), centroids, corpus.idf, tags
     ).select("q_id", "cluster_id", "rank", "tag", r6("score").alias("score"))
