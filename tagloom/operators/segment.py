@@ -10,7 +10,7 @@ from tagloom.operators.ranking import row_number_in_blocks
 from tagloom.operators.tags import question_tag
 
 HOLDOUT_SHARE = 0.1
-RANGE_ROWS = 16_384
+RANGE_ROWS = 2_048
 
 
 def with_split(questions: DataFrame, share: float = HOLDOUT_SHARE) -> DataFrame:

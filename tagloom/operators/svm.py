@@ -29,27 +29,27 @@ def _factor(i: int) -> tuple[float, float]:
     return 1.0 - eta * REG, eta
 
 
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    encoded = column.combine_chunks().dictionary_encode()
-    if isinstance(encoded, pa.ChunkedArray):
-        encoded = encoded.unify_dictionaries().combine_chunks()
-    return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """List lengths and concatenated items."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
 
 
 def _train_in_task(rounds: int):
     """All rounds for one tag of bounded size: nothing has to leave the task."""
 
     def fit(rows: pa.Table) -> pa.Table:
-        term, terms = _codes(rows["term"])
-        doc, docs = _codes(rows["q_id"])
-        x = rows["x"].to_numpy()
-        sign = np.zeros(len(docs))
-        sign[doc] = rows["sign"].to_numpy()
+        sizes, words = _flat(rows["terms"])
+        encoded = words.dictionary_encode()
+        term, terms = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
+        doc = np.repeat(np.arange(rows.num_rows), sizes)
+        x = _flat(rows["xs"])[1].to_numpy(zero_copy_only=False)
+        sign = rows["sign"].to_numpy()
         n = rows["n_docs"][0].as_py()
         w = np.zeros(len(terms))
         for i in range(1, rounds + 1):
             keep, eta = _factor(i)
-            margin = np.bincount(doc, weights=x * w[term], minlength=len(docs))
+            margin = np.bincount(doc, weights=x * w[term], minlength=rows.num_rows)
             push = np.where(sign * margin < 1.0, sign, 0.0)
             w = w * keep + eta / n * np.bincount(term, weights=x * push[doc], minlength=len(terms))
         return pa.table(
@@ -98,8 +98,8 @@ def train(
     """Weights (tag, term, w) of every tag in ``weighted``, whose members carry ``label``.
 
     ``split``, a condition on q_id, trains on a part of the documents; n is then the size of
-    that part. Tags of at most ``docs_per_task`` documents are brought together and trained
-    inside a task; larger ones in rounds over the cluster, their features staying where they
+    that part. Tags of at most ``docs_per_task`` documents are brought together, one row per
+    document, and trained inside a task; larger ones in rounds over the cluster, their features staying where they
     lie. Both use the same update and every document.
     """
     members, features = weighted.members, weighted.features
@@ -115,16 +115,19 @@ def train(
         .repartition("tag", "shard")
         .hint("shuffle_hash")
     )
-    rows = features.join(labels, ["tag", "shard", "q_id"])
     in_task = F.col("n_all") <= docs_per_task
+    vectors = features.groupBy("tag", "shard", "q_id").agg(
+        F.collect_list("term").alias("terms"), F.collect_list("x").alias("xs")
+    )
     fitted = (
-        rows.where(in_task)
-        .select("tag", "q_id", "term", "x", "sign", "n_docs")
+        vectors.join(labels.where(in_task), ["tag", "shard", "q_id"])
+        .select("tag", "terms", "xs", "sign", "n_docs")
         .groupBy("tag")
         .applyInArrow(_train_in_task(rounds), "tag string, term string, w double")
     )
     if not weighted.members.where(F.col("n_docs") > docs_per_task).isEmpty():
-        fitted = fitted.unionByName(_train_spread(rows.where(~in_task), rounds))
+        rows = features.join(labels.where(~in_task), ["tag", "shard", "q_id"])
+        fitted = fitted.unionByName(_train_spread(rows, rounds))
     # terms no training document holds have weight 0 but still count as kept terms
     return weighted.idf.select("tag", "term").join(fitted, ["tag", "term"], "left").select(
         "tag", "term", F.coalesce("w", F.lit(0.0)).alias("w")
