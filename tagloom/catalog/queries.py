@@ -231,7 +231,7 @@ def vocabulary(spark, d):
 
 
 def doc_frequency(spark, d):
-    return features.document_frequency(_sharded_terms(spark, d))
+    return features.document_frequency(features.shard_frequency(_sharded_terms(spark, d)))
 
 
 def idf(spark, d):

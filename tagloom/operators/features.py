@@ -48,9 +48,13 @@ def tag_terms(members: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(sharded_terms: DataFrame) -> DataFrame:
-    """AGG-6: documents per (tag, term); counted per shard first, then summed."""
-    per_shard = sharded_terms.groupBy("tag", "shard", "term").agg(F.count(F.lit(1)).alias("df"))
+def shard_frequency(sharded_terms: DataFrame) -> DataFrame:
+    """Documents per (tag, shard, term), without a shuffle."""
+    return sharded_terms.groupBy("tag", "shard", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def document_frequency(per_shard: DataFrame) -> DataFrame:
+    """AGG-6: documents per (tag, term), summed over the shards."""
     return per_shard.groupBy("tag", "term").agg(F.sum("df").alias("df"))
 
 
@@ -63,13 +67,14 @@ def inverse_frequency(df: DataFrame, sizes: DataFrame, min_df: int = MIN_DF) ->
     )
 
 
-def tf_idf(sharded_terms: DataFrame, idf: DataFrame) -> DataFrame:
+def tf_idf(sharded_terms: DataFrame, idf: DataFrame, per_shard: DataFrame) -> DataFrame:
     """AGG-8, FLT-11, JON-5, WIN-4: x = tf / (kept tokens of the document) * idf.
 
     ``sharded_terms`` stays where it is; the idf rows travel to the shards.
     """
     kept = join_in_shards(
-        sharded_terms, idf.select("tag", "term", "idf"), ["tag", "shard"], ["tag", "term"]
+        sharded_terms, idf.select("tag", "term", "idf"), ["tag", "shard"], ["tag", "term"],
+        need=per_shard.select("tag", "shard", "term"),
     )
     total = F.sum("tf").over(Window.partitionBy("tag", "shard", "q_id"))
     x = F.col("tf").cast("double") / total.cast("double") * F.col("idf")
@@ -84,8 +89,9 @@ def weigh(pairs: DataFrame, terms: DataFrame, min_df: int = MIN_DF,
     members = in_shards(pairs, docs_per_shard)
     # placed and counted once; everything below reads it where it lies
     sharded = tag_terms(members, terms).persist()
-    idf = inverse_frequency(document_frequency(sharded), tag_sizes(pairs), min_df).persist()
-    return Weighted(members, idf, tf_idf(sharded, idf), (sharded, idf))
+    per_shard = shard_frequency(sharded).persist()
+    idf = inverse_frequency(document_frequency(per_shard), tag_sizes(pairs), min_df).persist()
+    return Weighted(members, idf, tf_idf(sharded, idf, per_shard), (sharded, per_shard, idf))
 
 
 def corpus_pairs(docs: DataFrame) -> DataFrame:

@@ -40,13 +40,16 @@ def join_in_shards(
     values: DataFrame,
     shard: Sequence[str],
     key: Sequence[str],
+    need: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` (already clustered on ``shard``) with ``values`` on ``key``.
 
-    ``values`` must not hold the shard columns unless they are part of ``key``.
+    ``values`` must not hold the shard columns unless they are part of ``key``. ``need`` is the
+    distinct (shard, key) of ``rows``, if the caller has it.
     """
     keep_clustering(rows.sparkSession)
-    need = rows.select(*shard, *[k for k in key if k not in shard]).distinct()
+    if need is None:
+        need = rows.select(*shard, *[k for k in key if k not in shard]).distinct()
     # the copies of one partition are distinct keys of its rows, far fewer than the rows, so
     # they are hashed and the rows need no sort
     copies = need.join(values, list(key)).repartition(*shard).hint("shuffle_hash")
