@@ -21,7 +21,7 @@ from tagloom.session import stage
 ROUNDS = 20
 STEP = 1.0
 REG = 0.01
-DOCS_PER_TASK = 16_384
+ENTRIES_PER_TASK = 8_000_000  # about 200 MB of term and value arrays
 
 
 def _factor(i: int) -> tuple[float, float]:
@@ -93,29 +93,31 @@ def train(
     weighted: Weighted,
     split: Column | None = None,
     rounds: int = ROUNDS,
-    docs_per_task: int = DOCS_PER_TASK,
+    entries_per_task: int = ENTRIES_PER_TASK,
 ) -> DataFrame:
     """Weights (tag, term, w) of every tag in ``weighted``, whose members carry ``label``.
 
     ``split``, a condition on q_id, trains on a part of the documents; n is then the size of
-    that part. Tags of at most ``docs_per_task`` documents are brought together, one row per
-    document, and trained inside a task; larger ones in rounds over the cluster, their features staying where they
-    lie. Both use the same update and every document.
+    that part. Tags with at most ``entries_per_task`` vector entries are brought together, one
+    row per document, and trained inside a task; larger ones in rounds over the cluster, their
+    features staying where they lie. Both use the same update and every document.
     """
     members, features = weighted.members, weighted.features
     if split is not None:
         members, features = members.where(split), features.where(split)
+    # a term in df documents is df entries
+    entries = weighted.idf.groupBy("tag").agg(F.sum("df").alias("entries"))
     labels = (
-        members.withColumnRenamed("n_docs", "n_all")
-        .join(tag_sizes(members), "tag")
+        members.drop("n_docs")
+        .join(tag_sizes(members).join(entries, "tag"), "tag")
         .select(
-            "tag", "shard", "q_id", "n_docs", "n_all",
+            "tag", "shard", "q_id", "n_docs", "entries",
             (F.lit(2.0) * F.col("label") - F.lit(1.0)).alias("sign"),
         )
         .repartition("tag", "shard")
         .hint("shuffle_hash")
     )
-    in_task = F.col("n_all") <= docs_per_task
+    in_task = F.col("entries") <= entries_per_task
     vectors = features.groupBy("tag", "shard", "q_id").agg(
         F.collect_list("term").alias("terms"), F.collect_list("x").alias("xs")
     )
@@ -125,7 +127,7 @@ def train(
         .groupBy("tag")
         .applyInArrow(_train_in_task(rounds), "tag string, term string, w double")
     )
-    if not weighted.members.where(F.col("n_docs") > docs_per_task).isEmpty():
+    if not entries.where(~in_task).isEmpty():
         rows = features.join(labels.where(~in_task), ["tag", "shard", "q_id"])
         fitted = fitted.unionByName(_train_spread(rows, rounds))
     # terms no training document holds have weight 0 but still count as kept terms
@@ -170,11 +172,11 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 
 def evaluate(weighted: Weighted, seed: int = 11, rounds: int = ROUNDS,
-             docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+             entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """ML-6: train on 80 %, report accuracy per tag on the rest. As in the original, idf comes
     from all documents, before the split."""
     split = in_train_split(seed)
-    weights = train(weighted, split, rounds, docs_per_task)
+    weights = train(weighted, split, rounds, entries_per_task)
     test = Weighted(
         weighted.members.where(~split), weighted.idf, weighted.features.where(~split)
     )

@@ -51,7 +51,7 @@ def test_svm_golden(spark):
     pairs = spark.createDataFrame([("t", 1, 1), ("t", 0, 2)], "tag string, label int, q_id long")
     members = features.in_shards(pairs)
     feats = members.select("tag", "shard", "q_id", F.when(F.col("q_id") == 1, "a").otherwise("b").alias("term"), F.lit(1.0).alias("x"))
-    idf = spark.createDataFrame([("t", "a", 1.0), ("t", "b", 1.0)], "tag string, term string, idf double")
+    idf = spark.createDataFrame([("t", "a", 1, 1.0), ("t", "b", 1, 1.0)], "tag string, term string, df long, idf double")
     got = {r.term: r.w for r in svm.train(features.Weighted(members, idf, feats)).collect()}
     assert got["a"] == pytest.approx(1.07504825, abs=1e-8)
     assert got["b"] == pytest.approx(-1.07504825, abs=1e-8)
@@ -60,7 +60,7 @@ def test_svm_golden(spark):
 def test_svm_in_rounds_equals_in_task(spark, corpus):
     w = features.weigh(*corpus, docs_per_shard=11)
     in_task = {(r.tag, r.term): r.w for r in svm.train(w).collect()}
-    spread = {(r.tag, r.term): r.w for r in svm.train(w, docs_per_task=0).collect()}
+    spread = {(r.tag, r.term): r.w for r in svm.train(w, entries_per_task=0).collect()}
     assert in_task.keys() == spread.keys()
     assert all(spread[k] == pytest.approx(v, abs=1e-9) for k, v in in_task.items())
 
