@@ -91,7 +91,6 @@ def components(edges: DataFrame) -> DataFrame:
     partial aggregation happens before the shuffle, so a hub costs no task more than its share. Each round
     is written to the shared folder. Nodes without an edge are not in the result.
     """
-    spark = edges.sparkSession
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     now = stage(
@@ -114,7 +113,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = stage(small)
         same = now.join(after, ["v", "u"], "left_semi").count()
         if same == now.count() == after.count():
-            return after.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
-                spark.createDataFrame([], after.schema).select("v", "u")
-            )
+            return after.select(F.col("v").alias("node"), F.col("u").alias("root"))
         now = after

@@ -77,6 +77,7 @@ def streams(docs: DataFrame) -> DataFrame:
         rows.withColumn("_s", F.struct("source"))
         .join(count.select(F.struct("source").alias("_s"), "n", "source_size"), "_s")
         .withColumn("_bucket", F.shiftright(high * buckets, 30))
+        .repartition("_s", "_bucket")  # a layout by source alone would put a hot source into one task
     )
     inside = Window.partitionBy("_s", "_bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

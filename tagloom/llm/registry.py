@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tagloom.llm import fingerprint, language, mixing, packing, quality, toxicity
+from tagloom.llm import fingerprint, language, lines, mixing, ngram_join, packing, quality, toxicity
 from tagloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,10 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": _on("documents", quality.verdicts),
+    "op3_ngram_join": _on("documents", ngram_join.join),
     "op5_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_packing": _on("documents", packing.pack),
+    "op7_line_dedup": _on("documents", lines.query),
     "op8_mixing": _on("documents", mixing.mix),
     "op9_fingerprints": _on("documents", fingerprint.fingerprints),
     "op10_language": _on("documents", language.query),
