@@ -161,7 +161,7 @@ def repeat(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id share the mean of their takings.
     """
-    times = F.round(F.sum("taken") / F.sum("size")).cast("int")
+    times = F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
     copies = mix(docs).groupBy(F.struct("doc_id").alias("_id")).agg(times.alias("_times")).where("_times > 0")
     return (
         docs.withColumn("_id", F.struct("doc_id")).join(copies, "_id")
