@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import numbered, words
-from tagloom.session import stage
+from tagloom.session import shuffle_partitions, stage
 
 K = 3
 ORDERS = 40
 KEPT = 2
 #: A packed long: high bits of the k-mer's hash under an order, low bits its position.
 POSITION_BITS = 28
+#: Partitions of the text layout for every shuffle partition.
+FINER = 4
 
 
 def minima(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -108,7 +110,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     place = Window.partitionBy("i", "h").orderBy(F.lit(0))
     laid = docs.select(text.alias("text"), F.xxhash64("doc_id").alias("i"), F.xxhash64(text).alias("h"))
-    laid = laid.withColumn("at", F.row_number().over(place))
+    # every task sorts about three times its share of words a text byte, so shares are smaller than usual
+    parts = FINER * shuffle_partitions(docs.sparkSession)
+    laid = laid.repartition(parts, "i", "h").withColumn("at", F.row_number().over(place))
     # what is no part of the layout is compared by two inequalities, so that (i, h) serves every join as it is
     here = laid.join(stage(neighbours(docs)), ["i", "h"]).where("at <= k AND at >= k").drop("at", "k")
     heads = here.select(
@@ -120,15 +124,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = both.select("i", "h", "n", "doc_id", "n_chars", "text", edited.alias("new_text"))
     by = ["i", "h", "n", "edited"]
     versions = both.select("i", "h", "n", F.posexplode(F.array("text", "new_text")).alias("edited", "text"))
-    signed = stage(signatures(versions, by).groupBy("i", "h", "n").agg(
+    signed = signatures(versions, by).groupBy("i", "h", "n").agg(
         F.max(F.when(F.col("edited") == 0, F.col("signature"))).alias("own"),
         F.max(F.when(F.col("edited") == 1, F.col("signature"))).alias("changed"),
-    ).drop("i", "h"))
-    hashes = stage(both.select("n", "doc_id", "n_chars", F.sha2(F.encode("new_text", "UTF-8"), 256).alias("edited_sha256")))
-    total = max(1, hashes.count())
-    following = signed.select(F.pmod(F.col("n") + 1, F.lit(total)).alias("n"), F.col("own").alias("following"))
+    ).withColumnRenamed("n", "of_n")
+    sha = F.sha2(F.encode("new_text", "UTF-8"), 256).alias("edited_sha256")
+    # one job for both, so that it reads one shuffle of the texts
+    done = stage(
+        both.select("i", "h", "n", "doc_id", "n_chars", sha)
+        .join(signed, (both["i"] == signed["i"]) & (both["h"] == signed["h"]) & (F.col("n") <= F.col("of_n")) & (F.col("n") >= F.col("of_n")), "left")
+        .select("n", "doc_id", "n_chars", "edited_sha256", "own", "changed")
+    )
+    total = max(1, done.count())
+    following = done.select(F.pmod(F.col("n") + 1, F.lit(total)).alias("n"), F.col("own").alias("following"))
     return (
-        hashes.join(signed, "n", "left").join(following, "n", "left")
+        done.join(following, "n", "left")
         .select(
             "doc_id", "n_chars", "edited_sha256",
             shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),

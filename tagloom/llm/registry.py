@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tagloom.llm import fingerprint, language, lines, mixing, ngram_join, packing, quality, repeats, toxicity
+from tagloom.llm import fingerprint, language, licenses, lines, mixing, ngram_join, packing, quality, repeats, toxicity
 from tagloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": _on("documents", quality.verdicts),
+    "op2_license_scans": _on("pages", licenses.query),
     "op3_ngram_join": _on("documents", ngram_join.join),
     "op4_repeats": _on("documents", repeats.query),
     "op5_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
