@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are scanned at a time, so that the arrays of a scan stay small.
+SCAN_BYTES = 1 << 22
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+class Rolling:
+    """Hashes of any substring of a byte array, from prefix sums modulo 2^64."""
+
+    values = mix(np.arange(1, 257, dtype=np.uint64))
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        if len(Rolling.up) < n:
+            size = max(n, SCAN_BYTES * 2)
+            one = np.ones(1, np.uint64)
+            Rolling.up = np.cumprod(np.concatenate([one, np.full(size, BASE)]), dtype=np.uint64)
+            Rolling.down = np.cumprod(np.concatenate([one, np.full(size, INVERSE)]), dtype=np.uint64)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(Rolling.values[data] * Rolling.up[: n - 1], dtype=np.uint64, out=self.sums[1:])
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * Rolling.down[start]
+
+    def windows(self, length: int) -> np.ndarray:
+        n = max(0, len(self.sums) - length)
+        return mix((self.sums[length:] - self.sums[:n]) * Rolling.down[:n])
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
+
+
+def batched(sizes: list[int], limit: int) -> Iterator[slice]:
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > limit:
+            yield slice(start, k)
+            start, held = k, 0
+        held += n
+    if sizes:
+        yield slice(start, len(sizes))
+
+
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
+
+
+def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of every text, ASCII letters lower-cased. White space is ASCII, so words are found in
+    the UTF-8 bytes, many texts at a time."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    for part in batched([len(t) for t in raw], SCAN_BYTES):
+        # a space after every text ends its last word
+        data, first, size = joined([t + b" " for t in raw[part]])
+        rolling = Rolling(LOWER[data])
+        edge = np.diff(IS_SPACE[data].astype(np.int8), prepend=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(start) and len(end) and end[0] < start[0]:
+            end = end[1:]
+        found = mix(rolling.raw(start, end) + mix((end - start).astype(np.uint64)))
+        yield from np.split(found, np.searchsorted(start, (first + size)[:-1]))
+
+
+MASK_BITS = 24
+
+
+def mask_of(rows: DataFrame, key: str) -> np.ndarray:
+    """A Bloom mask of a column of hashes: 2^24 bits whatever the number of rows, or-ed before the shuffle."""
+    low = F.lit((1 << MASK_BITS) - 1)
+    bit = F.explode(F.array(F.col(key).bitwiseAND(low), F.shiftrightunsigned(F.col(key), MASK_BITS).bitwiseAND(low)))
+    words = (
+        rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("x")).toPandas()
+    )
+    out = np.zeros(1 << (MASK_BITS - 5), np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_mask(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), bool)
+    for shift in (0, MASK_BITS):
+        bit = (keys.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << MASK_BITS) - 1)
+        hit &= (mask[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+    return hit
+
+
+def among(rows: DataFrame, mask: np.ndarray, key: str) -> DataFrame:
+    """The rows whose ``key`` is in the mask, and a few others: narrows texts before a join shuffles them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            at = batch.schema.get_field_index(key)
+            keys = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(in_mask(mask, keys)))
+
+    return rows.mapInArrow(read, rows.schema)
+
+
 def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """``df`` with a gapless number from 0 in the order of the columns ``order``.
 

@@ -11,7 +11,7 @@ shorter of the remaining lengths cannot reach the bound. Every linked pair of di
 lies in a group that is joined already (``buckets.grouped``); equal sets are one class from the start.
 
 Scale: the hot list is bounded, at most (mean set size) / HOT_SHARE shingles whatever the corpus; only the first shingles
-are shuffled, and whole sets travel only for classes that share a bucket; a probe's partners are split into
+are shuffled; counts per cell of hash space tell most false partners apart, and whole sets travel only for the others; a probe's partners are split into
 tries of bounded size.
 
 Edge cases: null texts and texts without a word are empty sets, linked with nothing (component_id = doc_id); repeated rows
@@ -21,7 +21,6 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,28 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.buckets import grouped, shared
-from tagloom.llm.common import WORD, WordHashes, mix
+from tagloom.llm.common import in_mask, mask_of, mix, word_hashes
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
-HOT_SHARE = 0.002
+HOT_SHARE = 0.001
 TRIE_SETS = 256
-CAPITALS = re.compile("[A-Z]+")
+CELLS = 128
 
 
-def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    text = text or ""
-    text = text.lower() if text.isascii() else CAPITALS.sub(lambda m: m.group().lower(), text)
-    found = WORD.findall(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = mix(hashes(found))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, min(len(h), size), np.uint64)
-    for k in range(min(len(h), size)):
-        out = mix(out ^ h[k : k + n]) + np.uint64(k + 1)
-    return np.unique(out)
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of every text."""
+    for h in word_hashes([t or "" for t in texts]):
+        n = max(1, len(h) - size + 1) if len(h) else 0
+        out = np.full(n, min(len(h), size), np.uint64)
+        for k in range(min(len(h), size)):
+            out = mix(out ^ h[k : k + n]) + np.uint64(k + 1)
+        yield np.unique(out)
+
+
+def profile(found: np.ndarray) -> bytes:
+    """How many of the shingles fall into each of ``CELLS`` cells, at most 255 each."""
+    return np.minimum(np.bincount(found & np.uint64(CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def ordered(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -73,9 +72,8 @@ def hot_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     common within the batches they are counted in."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), size, hashes) for t in batch.column(0)]
+            sets = list(shingle_sets(batch.column(0).to_pylist(), size))
             found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             often = times >= max(3, HOT_SHARE * len(sets) / 2)
             yield pa.RecordBatch.from_arrays(
@@ -93,11 +91,11 @@ def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shown = WordHashes(), set()
+        shown = set()
         for batch in batches:
-            sizes, ids, prefixes = [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), size, hashes)
+            sizes, ids, prefixes, profiles = [], [], [], []
+            for found in shingle_sets(batch.column(1).to_pylist(), size):
+                profiles.append(profile(found) if len(found) else None)
                 sizes.append(len(found))
                 own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 ids.append(own)
@@ -106,30 +104,30 @@ def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
                 if len(shown) < 1_000_000:
                     shown.add(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "set_id", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
+                names=["doc_id", "n", "set_id", "prefix", "profile"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, n long, set_id long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, n long, set_id long, prefix array<long>, profile binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, hot: np.ndarray, size: int) -> DataFrame:
-    """(node, items): the ordered sets of ``wanted(doc_id, node)``, as packed big-endian places in the order."""
+    """(node, items): the ordered sets of ``wanted(node, k)``, k the hash of a doc_id that has it; items are big-endian.
+
+    Texts are not shuffled: a mask of bounded size tells which of them to read, the join drops what it lets through.
+    """
+    mask = mask_of(wanted, "k")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            ids, items = [], []
-            for node, text in zip(batch.column(0), batch.column(1)):
-                found = ordered(shingles(text.as_py(), size, hashes), hot)
-                own = xxhash.xxh3_64_intdigest(np.sort(found).tobytes()) - (1 << 63)
-                if own == node.as_py():  # another text may share the doc_id
-                    ids.append(own)
-                    items.append(found.astype(">u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
+            batch = batch.filter(pa.array(in_mask(mask, batch.column(0).to_numpy())))
+            sets = [ordered(x, hot) for x in shingle_sets(batch.column(1).to_pylist(), size)]
+            ids = [xxhash.xxh3_64_intdigest(np.sort(x).tobytes()) - (1 << 63) for x in sets]
+            items = [x.astype(">u8").tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["k", "node", "items"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(read, "node long, items binary").dropDuplicates(["node"])
+    rows = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(read, "k long, node long, items binary")
+    return rows.join(wanted, ["k", "node"], "left_semi").dropDuplicates(["node"]).select("node", "items")
 
 
 def walk(probe: np.ndarray, partners: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
@@ -164,6 +162,26 @@ def walk(probe: np.ndarray, partners: list[tuple[int, np.ndarray]], percent: int
     return linked
 
 
+def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose profiles allow the overlap that a link needs: two sets share at most the smaller count of every
+    cell (a full cell counts as any number)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (2, 3))
+            n, m = (batch.column(k).to_numpy() for k in (4, 5))
+            most = np.minimum(x, y)
+            most = np.where((most == 255).any(1), np.minimum(n, m), most.sum(1, dtype=np.int64))
+            keep = (100 + percent) * most >= percent * (n + m)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    left = profiles.select(F.col("node").alias("a"), F.col("profile").alias("x"), F.col("n").alias("n_a"))
+    right = profiles.select(F.col("node").alias("b"), F.col("profile").alias("y"), F.col("n").alias("n_b"))
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y", "n_a", "n_b")
+    return both.mapInArrow(read, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked; ``a`` is the probe of up to about ``TRIE_SETS`` partners a group."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).alias("parts"))
@@ -194,10 +212,17 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     prefixes = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("bucket"), F.col("set_id").alias("node"))
     least = rows.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     multi = stage(shared(prefixes).join(least.select("node", "n"), "node"))
-    wanted = least.join(multi.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
-    sets = stage(whole_sets(docs, wanted, hot, size))
+    profiles = rows.where("prefix IS NOT NULL").select(F.col("set_id").alias("node"), "profile", "n")
+    profiles = stage(profiles.join(multi.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = stage(possible(pairs, profiles, percent))
+        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        wanted = stage(least.join(ends, "node", "left_semi").select("node", F.xxhash64("doc_id").alias("k")))
+        return verified(near, stage(whole_sets(docs, wanted, hot, size)), percent)
+
     similar = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
-    group = stage(grouped(multi, lambda pairs: verified(pairs, sets, percent), similar, ["n"]))
+    group = stage(grouped(multi, verify, similar, ["n"]))
     roots = least.where("node IS NOT NULL").join(group, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     heads = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = roots.join(heads, "root").select(F.col("node").alias("set_id"), "component_id")

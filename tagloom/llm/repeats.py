@@ -32,39 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import mix
+from tagloom.llm.common import SCAN_BYTES, Rolling, among, batched, joined, mask_of, mix
 from tagloom.session import stage
 
 LENGTH, GRAM, SYMBOL = 200, 80, 8
 GROUP = 512
 MERGE_BYTES = 60_000
-SCAN_BYTES = 1 << 22
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-class Rolling:
-    """Hashes of any substring of a byte array, from prefix sums modulo 2^64."""
-
-    values = mix(np.arange(1, 257, dtype=np.uint64))
-    up = down = np.ones(1, np.uint64)
-
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(Rolling.up) < n:
-            size = max(n, SCAN_BYTES * 2)
-            one = np.ones(1, np.uint64)
-            Rolling.up = np.cumprod(np.concatenate([one, np.full(size, BASE)]), dtype=np.uint64)
-            Rolling.down = np.cumprod(np.concatenate([one, np.full(size, INVERSE)]), dtype=np.uint64)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(Rolling.values[data] * Rolling.up[: n - 1], dtype=np.uint64, out=self.sums[1:])
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * Rolling.down[start]
-
-    def windows(self, length: int) -> np.ndarray:
-        n = max(0, len(self.sums) - length)
-        return mix((self.sums[length:] - self.sums[:n]) * Rolling.down[:n])
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -103,22 +76,6 @@ def contexts(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[str,
     return {"text": text, "lo": lo - first[text], "n": n, "off": off, "h": grams[anchor].view(np.int64), "dig": whole.view(np.int64)}
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
-
-
-def batched(sizes: list[int], limit: int) -> Iterator[slice]:
-    start, held = 0, 0
-    for k, n in enumerate(sizes):
-        if k > start and held + n > limit:
-            yield slice(start, k)
-            start, held = k, 0
-        held += n
-    if sizes:
-        yield slice(start, len(sizes))
-
-
 def stable_order(x: np.ndarray, top: int) -> np.ndarray:
     """Stable sort of small integers, 16 bits at a time (numpy sorts those by counting)."""
     if top < 1 << 16:
@@ -229,6 +186,7 @@ def anchored(docs: DataFrame) -> DataFrame:
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted(h, r, lo, n, open)`` with the context's bytes."""
     lists = wanted.groupBy("r").agg(F.collect_list(F.struct("h", "lo", "n", "open")).alias("w"))
+    likely = among(docs, mask_of(wanted, "r"), "r").dropDuplicates(["r"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +200,7 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["h", "r", "lo", "open", "bytes"])
 
-    rows = docs.dropDuplicates(["r"]).join(lists, "r").select("r", "text", "w")
+    rows = likely.join(lists, "r").select("r", "text", "w")
     return rows.mapInArrow(read, "h long, r long, lo int, open boolean, bytes binary")
 
 
