@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are scanned at a time, so that the arrays of a scan stay small.
-SCAN_BYTES = 1 << 22
+SCAN_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -189,11 +189,11 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node.
+    """Connected components of ``edges(a, b)``: (node, root), root the smallest node, for every node but the roots.
 
     Alternates the large-star and small-star steps, each a grouped minimum whose
     partial aggregation happens before the shuffle, so a hub costs no task more than its share. Each round
-    is written to the shared folder. Nodes without an edge are not in the result.
+    is written to the shared folder.
     """
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

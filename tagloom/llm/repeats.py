@@ -52,9 +52,9 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
-    """Contexts of the texts ``data[first : first + size]``: text number, start in the text, number of starts, anchor's
-    offset, hashes of the anchor (h) and of the whole context (dig)."""
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "off", "h", "dig")}
+    """Contexts of the texts ``data[first : first + size]``: text number, start in the text, number of starts,
+    hashes of the anchor (h) and of the whole context (dig)."""
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "h", "dig")}
     room = np.maximum(0, size - LENGTH + 1)
     if len(data) < LENGTH or not room.any():
         return empty
@@ -73,7 +73,7 @@ def contexts(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[str,
     lo, anchor, text = start[at], anchor[at], text[at]
     off = anchor - lo
     whole = mix(rolling.raw(lo, lo + n + LENGTH - 1) + mix((n << 16 | off).astype(np.uint64)))
-    return {"text": text, "lo": lo - first[text], "n": n, "off": off, "h": grams[anchor].view(np.int64), "dig": whole.view(np.int64)}
+    return {"text": text, "lo": lo - first[text], "n": n, "h": grams[anchor].view(np.int64), "dig": whole.view(np.int64)}
 
 
 def stable_order(x: np.ndarray, top: int) -> np.ndarray:
@@ -166,21 +166,28 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], gap + 1]).astype(int)], starts[np.append(gap, len(starts) - 1).astype(int)]
 
 
+def sliced(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """A text as pieces of bounded size with their places; every string of ``LENGTH`` bytes starts in one of them."""
+    for at in range(0, max(1, len(data) - LENGTH + 1), SCAN_BYTES):
+        yield at, data[at : at + SCAN_BYTES + LENGTH - 1]
+
+
 def anchored(docs: DataFrame) -> DataFrame:
-    """(h, dig, r, lo, n, off) of every context of ``docs(r, text)``."""
+    """(h, dig, r, lo, n) of every context of ``docs(r, text)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for part in batched([len(t) for t in texts], SCAN_BYTES):
-                c = contexts(*joined(texts[part]))
-                r = batch.column(0)[part.start : part.stop].take(pa.array(c["text"]))
+            r = batch.column(0).to_numpy()
+            pieces = [(i, *p) for i, t in enumerate(batch.column(1)) for p in sliced(t.as_py().encode("utf-8", "surrogatepass"))]
+            for part in batched([len(p[2]) for p in pieces], SCAN_BYTES):
+                c = contexts(*joined([p[2] for p in pieces[part]]))
+                row, skipped = (np.array([p[k] for p in pieces[part]])[c["text"]] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["h"]), pa.array(c["dig"]), r, *[pa.array(c[k].astype(np.int32)) for k in ("lo", "n", "off")]],
-                    names=["h", "dig", "r", "lo", "n", "off"],
+                    [pa.array(x) for x in (c["h"], c["dig"], r[row], (c["lo"] + skipped).astype(np.int32), c["n"].astype(np.int32))],
+                    names=["h", "dig", "r", "lo", "n"],
                 )
 
-    return docs.mapInArrow(read, "h long, dig long, r long, lo int, n int, off int")
+    return docs.mapInArrow(read, "h long, dig long, r long, lo int, n int")
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -263,7 +270,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("h").agg(
         F.count(F.lit(1)).alias("times"), F.min("dig").alias("least"), F.max("dig").alias("most")
     ).where("times > 1").select("h", (F.col("least") == F.col("most")).alias("alike"))
-    kept = stage(rows.drop("off").join(shared, "h"))
+    kept = stage(rows.join(shared, "h"))
     whole = kept.where("alike").select("r", "lo", "n")
     mixed = kept.where("NOT alike").drop("alike")
     each = stage(mixed.groupBy("h", "dig").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r", "lo", "n")).alias("at")))
