@@ -106,6 +106,16 @@ def batched(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+SLICE_ROWS = 500
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what Python makes of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 

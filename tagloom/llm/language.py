@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import small
 from tagloom.operators.ranking import top_k
 
 TRAIN_PER_LANG = 1000
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, names: list[str], machines: list[tuple[str, str, np
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             said = []
             for text in batch.column(1):
                 v = features(text.as_py()) if names else None

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import small
 from tagloom.session import stage
 
 LEAST = 0.6
@@ -69,7 +70,7 @@ def idf_weights(files: DataFrame, templates: dict[str, list[str]], markup: bool)
     known = vocabulary(templates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen: Counter = Counter()
             for text in batch.column(0):
                 for terms in statements(text.as_py(), markup):
@@ -122,7 +123,7 @@ def own_licences(
         return (who if best >= least else None), best
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [closest(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

@@ -27,17 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.buckets import grouped, shared
-from tagloom.llm.common import in_mask, mask_of, mix, word_hashes
+from tagloom.llm.common import in_mask, mask_of, mix, small, word_hashes
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
 HOT_SHARE = 0.001
 TRIE_SETS = 256
 CELLS = 128
+COUNTED = 1 << 21  # shingles that are counted at a time
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -69,16 +70,25 @@ def prefix_length(n: int, percent: int) -> int:
 
 def hot_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     """Sorted shingles that at least ``HOT_SHARE`` of the documents have, as far as they are
-    common within the batches they are counted in."""
+    common within the parts they are counted in."""
+
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        often = times >= max(3, HOT_SHARE * len(sets) / 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], names=["token", "n"]
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0).to_pylist(), size))
-            found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            often = times >= max(3, HOT_SHARE * len(sets) / 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], names=["token", "n"]
-            )
+        held, total = [], 0
+        for batch in small(batches):
+            for found in shingle_sets(batch.column(0).to_pylist(), size):
+                held.append(found)
+                total += len(found)
+            if total > COUNTED:
+                yield counts(held)
+                held, total = [], 0
+        yield counts(held)
 
     total = docs.count()
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -92,7 +102,7 @@ def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = set()
-        for batch in batches:
+        for batch in small(batches):
             sizes, ids, prefixes, profiles = [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), size):
                 profiles.append(profile(found) if len(found) else None)
@@ -119,7 +129,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, hot: np.ndarray, size: int) -
     mask = mask_of(wanted, "k")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             batch = batch.filter(pa.array(in_mask(mask, batch.column(0).to_numpy())))
             sets = [ordered(x, hot) for x in shingle_sets(batch.column(1).to_pylist(), size)]
             ids = [xxhash.xxh3_64_intdigest(np.sort(x).tobytes()) - (1 << 63) for x in sets]
@@ -167,7 +177,7 @@ def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     cell (a full cell counts as any number)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (2, 3))
             n, m = (batch.column(k).to_numpy() for k in (4, 5))
             most = np.minimum(x, y)
@@ -232,8 +242,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand first in their component; rows equal in doc_id to it all stay only if their text is
-    empty, else one of them does."""
-    first = join(docs, size, percent).where("set_id IS NULL OR doc_id = component_id").select("doc_id", "set_id").distinct()
-    ids = first.groupBy(F.struct("doc_id").alias("_id")).agg(F.bool_or(F.col("set_id").isNull()).alias("_empty"))
-    return docs.withColumn("_id", F.struct("doc_id")).join(ids, "_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stand first in their component. Rows that share a doc_id are one document: the one whose
+    text hashes least stays."""
+    found = stage(join(docs, size, percent))
+    first = found.where("set_id IS NULL OR doc_id <=> component_id")
+    stay = docs.withColumn("_id", F.struct("doc_id")).join(first.select(F.struct("doc_id").alias("_id")).distinct(), "_id", "left_semi")
+    if not found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        alike = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+        stay = stay.withColumn("_at", F.row_number().over(alike)).where("_at = 1")
+    return stay.select(*docs.columns)

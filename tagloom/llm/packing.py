@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import numbered
+from tagloom.llm.common import numbered, small
 from tagloom.session import stage
 
 LENGTH = 1024
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
         from zlib import crc32
 
         encode = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import SCAN_BYTES, Rolling, among, batched, joined, mask_of, mix
+from tagloom.llm.common import SCAN_BYTES, among, batched, joined, mask_of, mix, small, Rolling
 from tagloom.session import stage
 
 LENGTH, GRAM, SYMBOL = 200, 80, 8
@@ -176,7 +176,7 @@ def anchored(docs: DataFrame) -> DataFrame:
     """(h, dig, r, lo, n) of every context of ``docs(r, text)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             r = batch.column(0).to_numpy()
             pieces = [(i, *p) for i, t in enumerate(batch.column(1)) for p in sliced(t.as_py().encode("utf-8", "surrogatepass"))]
             for part in batched([len(p[2]) for p in pieces], SCAN_BYTES):
@@ -196,7 +196,7 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     likely = among(docs, mask_of(wanted, "r"), "r").dropDuplicates(["r"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for r, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data = text.as_py().encode("utf-8", "surrogatepass")
@@ -227,7 +227,7 @@ def merged(cut: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[-1][0] and weight > MERGE_BYTES:
                     yield solve(held)
@@ -245,7 +245,7 @@ def counted(cut: DataFrame) -> DataFrame:
     """The same by counting the hashes of all strings of the contexts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             opened = [np.zeros(0, bool)]
             for r, lo, open_, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -294,7 +294,7 @@ def removal(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(5)]
             for text, first, last in zip(batch.column(1), batch.column(2), batch.column(3)):
                 data = text.as_py().encode("utf-8", "surrogatepass")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import WordHashes
+from tagloom.llm.common import small, WordHashes
 
 TRAIN_ROWS = 30_000
 BITS = 20
@@ -141,7 +141,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             s = [machine.score(terms(t.as_py(), hashes)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
