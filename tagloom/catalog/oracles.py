@@ -51,7 +51,7 @@ CORPUS = ["WITH" + _Q, _QT, _TAGS, _CONTENT, _SPLIT, _PAIRS]
 _PLAIN = f"""
 plain AS MATERIALIZED (
   SELECT q_id, term, count(*) AS tf FROM (
-    SELECT q_id, lower(unnest(regexp_extract_all(content, '\\p{{L}}+'))) AS term FROM qc)
+    SELECT q_id, lower(unnest(regexp_extract_all(content, '\\p{{L}}{{1,255}}'))) AS term FROM qc)
   WHERE length(term) BETWEEN 3 AND 100 AND term NOT IN ({_STOP}) GROUP BY q_id, term)"""
 
 _PER_TAG = """
@@ -151,7 +151,7 @@ def _stem_ctes(source: str) -> str:
     return ",\n".join(parts)
 
 
-_WORDS = "words AS MATERIALIZED (SELECT q_id, lower(unnest(regexp_extract_all(content, '\\p{L}+'))) AS term FROM qc)"
+_WORDS = "words AS MATERIALIZED (SELECT q_id, lower(unnest(regexp_extract_all(content, '\\p{L}{1,255}'))) AS term FROM qc)"
 _STEMMED = f"""{_WORDS},
 {_stem_ctes("words")},
 stemmed AS MATERIALIZED (SELECT w.q_id, s.stem AS term, count(*) AS tf
@@ -277,7 +277,7 @@ ORACLES = {
             FROM pairs p JOIN qc c ON c.q_id = p.q_id)""",
     "tokens_plain": _with() + f"""
         SELECT q_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM (
-          SELECT q_id, list_filter(list_transform(regexp_extract_all(content, '\\p{{L}}+'),
+          SELECT q_id, list_filter(list_transform(regexp_extract_all(content, '\\p{{L}}{{1,255}}'),
             lambda x: lower(x)), lambda x: length(x) BETWEEN 3 AND 100 AND x NOT IN ({_STOP})) AS t
           FROM qc)""",
     "tokens_stem": _with(_WORDS, _stem_ctes("words")) + "SELECT term, stem FROM stems",

@@ -109,7 +109,7 @@ def question_tag_bridge(spark, d):
 
 
 def question_tag_wide(spark, d):
-    return T.question_tag_wide(V.questions(spark, d))
+    return T.question_tag_wide(V.questions(spark, d), 5)
 
 
 def chunk_ids(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.stopwords import DEFAULT
 
-LETTERS = r"\p{L}+"
+LETTERS = r"\p{L}{1,255}"  # the published letter tokenizer cuts a longer run
 DIGIT_OR_DOT = r"[0-9.]"
 
 

@@ -100,12 +100,18 @@ def shift(before: DataFrame, after: DataFrame) -> float:
 
 
 def cost(features: DataFrame, placed: DataFrame, centroids: DataFrame) -> float:
-    """Sum of squared distances: sum |x|^2 - sum over clusters of n |c|^2 once c are the means."""
+    """Sum of squared distances: sum |x|^2 - 2 sum of s.c + sum of n |c|^2 over clusters with sums s; the centroids
+    need not be the means of ``placed``."""
     x2 = features.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
     norms = centroids.groupBy("cluster_id").agg(F.sum(F.col("v") * F.col("v")).alias("norm"))
     sizes = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    explained = norms.join(sizes, "cluster_id").agg(F.sum(F.col("n") * F.col("norm"))).first()[0] or 0.0
-    return x2 - explained
+    own = norms.join(sizes, "cluster_id").agg(F.sum(F.col("n") * F.col("norm"))).first()[0] or 0.0
+    means = mean_vectors(features, placed).select("cluster_id", "term", F.col("v").alias("m"))
+    cross = (
+        means.join(centroids, ["cluster_id", "term"]).join(sizes, "cluster_id")
+        .agg(F.sum(F.col("n") * F.col("m") * F.col("v"))).first()[0] or 0.0
+    )
+    return x2 - 2 * cross + own
 
 
 def seeds(features: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:

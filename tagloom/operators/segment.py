@@ -11,6 +11,7 @@ from tagloom.operators.tags import question_tag
 
 HOLDOUT_SHARE = 0.1
 RANGE_ROWS = 2_048
+TAGS_PER_DEAL = 32
 
 
 def with_split(questions: DataFrame, share: float = HOLDOUT_SHARE) -> DataFrame:
@@ -47,7 +48,8 @@ def negatives(questions: DataFrame, pos: DataFrame, max_neg: DataFrame | None =
 
     No question x tag product is formed: at most k questions are skipped before the k-th
     non-member, so these lie among the first 2k ids. Ids are ranked once; a tag meets
-    only the rank ranges up to 2k (an equi-join on the range number).
+    only the rank ranges up to 2k (an equi-join on the range number). All tags reach the first ranges, so the tags of a
+    range are dealt into deals of about ``TAGS_PER_DEAL``, and its ids are copied once per deal.
     """
     wanted = max_neg if max_neg is not None else pos.groupBy("tag").agg(F.count(F.lit(1)).alias("k"))
     ranked = row_number_in_blocks(questions.select("q_id"), [], "q_id", "q_rank").select(
@@ -57,7 +59,14 @@ def negatives(questions: DataFrame, pos: DataFrame, max_neg: DataFrame | None =
         "tag", "k",
         F.explode(F.sequence(F.lit(0), F.expr(f"cast((2 * k - 1) div {RANGE_ROWS} as int)"))).alias("_r"),
     ).select("tag", "k", F.col("_r").cast("bigint").alias("_range"))
-    near = ranked.join(reach, "_range").where(F.col("q_rank") <= 2 * F.col("k"))
+    deals = reach.groupBy("_range").agg(F.ceil(F.count(F.lit(1)) / TAGS_PER_DEAL).alias("_deals"))
+    dealt = reach.join(deals, "_range").select(
+        "tag", "k", "_range", F.pmod(F.xxhash64("tag"), F.col("_deals")).alias("_deal")
+    )
+    copies = ranked.join(deals, "_range").withColumn(
+        "_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_deals") - 1))
+    ).drop("_deals")
+    near = copies.join(dealt, ["_range", "_deal"]).where(F.col("q_rank") <= 2 * F.col("k"))
     free = near.join(pos, ["tag", "q_id"], "left_anti").select("tag", "q_id", "q_rank", "k")
     first = row_number_in_blocks(free, ["tag"], "q_rank", "_rn")
     return first.where(F.col("_rn") <= F.col("k")).select("tag", "q_id")

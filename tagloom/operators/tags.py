@@ -13,9 +13,13 @@ def question_tag(questions: DataFrame) -> DataFrame:
     return questions.select("q_id", F.explode(cleaning.lower_tags("tags")).alias("tag"))
 
 
-def question_tag_wide(questions: DataFrame, width: int = 5) -> DataFrame:
-    """PRJ-13: the first ``width`` tags as columns, in tag order; a row projection, no pivot."""
+def question_tag_wide(questions: DataFrame, width: int | None = None) -> DataFrame:
+    """PRJ-13: the tags as columns, in tag order; a row projection, no pivot. Without ``width`` there are as many columns
+    as the question with most tags needs; a width that would drop a tag fails."""
+    if width is None:
+        width = max(1, questions.agg(F.max(F.size(cleaning.lower_tags("tags")))).first()[0] or 1)
     tags = F.array_sort(cleaning.lower_tags("tags"))
+    tags = F.when(F.size(tags) <= width, tags).when(F.size(tags) > width, F.raise_error(F.lit(f"more than {width} tags")))
     return questions.select(
         "q_id", *[F.get(tags, F.lit(i)).alias(f"q_tag_{i + 1}") for i in range(width)]
     )

@@ -17,6 +17,7 @@ from tagloom.functions.text import (
     raw_tokens,
 )
 from tagloom.operators.ranking import row_number_in_blocks
+from tagloom.session import stage
 
 
 def document_terms(
@@ -55,10 +56,9 @@ def postings(terms: DataFrame) -> DataFrame:
 def vocabulary(tag_terms: DataFrame) -> DataFrame:
     """AGG-4, SRT-1, JON-6: per tag, the sorted distinct terms with ids from 0.
 
-    The blocks of the two-pass row number are three-letter prefixes, which follow term order.
+    The blocks of the two-pass row number are range partitions of (tag, term), drawn from the data and kept as files.
     """
     distinct = tag_terms.select("tag", "term").distinct()
-    numbered = row_number_in_blocks(
-        distinct, ["tag"], "term", "_rn", block=F.substring("term", 1, 3)
-    )
+    placed = stage(distinct.repartitionByRange("tag", "term").withColumn("_part", F.spark_partition_id()))
+    numbered = row_number_in_blocks(placed, ["tag"], "term", "_rn", block=F.col("_part"))
     return numbered.select("tag", "term", (F.col("_rn") - 1).alias("term_id"))

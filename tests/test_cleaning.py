@@ -57,6 +57,20 @@ def test_posts_file(spark):
     assert [tuple(r) for r in got] == [(1, "How to   parse", "a T bc", ["java", "c#"], 3, 10)]
 
 
+@pytest.mark.parametrize("bad", ["  <row Id=\"x\" PostTypeId=\"1\" />", "  <row Id=\"1\" PostTypeId=", "no element"])
+def test_broken_posts_fail(spark, bad):
+    df = spark.createDataFrame([(bad,)], "value string")
+    with pytest.raises(Exception, match="(?i)malformed|parse|cast|xml"):
+        posts.parse_post_lines(df).collect()
+
+
+def test_outer_spaces_stay_and_posts_are_parsed_once(spark):
+    df = spark.createDataFrame([('<row Id="1" PostTypeId="1" Title="  a " Body="b" />',)], "value string")
+    cleaned = posts.clean_posts(posts.parse_post_lines(df))
+    assert cleaned.first().title == "  a "
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
 def test_content_and_labels(spark):
     df = spark.createDataFrame([(None, "b"), ("t", None), ("t", "b")], "t string, b string")
     assert [r[0] for r in df.select(cleaning.content(F.col("t"), F.col("b"))).collect()] == ["b", "t", "t b"]

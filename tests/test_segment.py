@@ -27,7 +27,21 @@ def test_accepted_questions(spark):
 def test_bridge_lowers_and_wide(spark):
     q = spark.createDataFrame([(1, ["Java", "java", "C#"])], "q_id long, tags array<string>")
     assert rows(T.question_tag(q)) == [(1, "c#"), (1, "java")]
-    assert rows(T.question_tag_wide(q)) == [(1, "c#", "java", None, None, None)]
+    assert rows(T.question_tag_wide(q, 5)) == [(1, "c#", "java", None, None, None)]
+    assert rows(T.question_tag_wide(q)) == [(1, "c#", "java")]
+    with pytest.raises(Exception, match="more than 1 tags"):
+        T.question_tag_wide(q, 1).collect()
+
+
+def test_negatives_of_many_tags_over_the_same_ids(spark):
+    tags = [f"t{k:03d}" for k in range(300)]
+    q = spark.createDataFrame([(i, [tags[i % 300]]) for i in range(900)], "q_id long, tags array<string>")
+    pos = T.question_tag(q).select("tag", "q_id")
+    got = defaultdict(list)
+    for r in segment.negatives(q, pos).collect():
+        got[r.tag].append(r.q_id)
+    for k, tag in enumerate(tags):
+        assert sorted(got[tag]) == [i for i in range(900) if i % 300 != k][:3]
 
 
 def test_lookup(spark):

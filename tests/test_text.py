@@ -61,8 +61,20 @@ def test_custom_pattern_drops_digits_and_dots(spark):
     assert {r.term for r in terms.document_terms(df, words).collect()} == {"alpha", "beta"}
 
 
-def test_default_list_is_letters_only():
-    assert all(w.isalpha() and w == w.lower() for w in stopwords.DEFAULT)
+def test_long_letter_runs_leave_their_rest(spark):
+    df = spark.createDataFrame([(1, "a" * 300 + " word")], "q_id long, content string")
+    assert df.select(X.term_array(F.col("content"), X.PLAIN).alias("t")).first().t == ["a" * 45, "word"]
+
+
+def test_apostrophe_words_of_a_list_stay(spark):
+    assert X.PLAIN.with_stopwords(["Don't", "the"]).stopwords == ("don't", "the")
+    assert len(set(stopwords.DEFAULT)) == len(stopwords.DEFAULT)
+
+
+def test_vocabulary_with_one_hot_prefix(spark):
+    pairs = [("t", f"pre{k:04d}") for k in range(3000)]
+    got = rows(terms.vocabulary(spark.createDataFrame(pairs, "tag string, term string")))
+    assert got == [("t", f"pre{k:04d}", k) for k in range(3000)]
 
 
 @pytest.mark.parametrize("tag_terms, want", [
