@@ -22,7 +22,8 @@ Verify = Callable[[DataFrame], DataFrame]
 def shared(rows: DataFrame) -> DataFrame:
     """The distinct ``rows(bucket, node)`` of buckets with two nodes or more, with the bucket's least node ``lo``."""
     ends = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    return rows.join(ends.select("bucket", "lo"), "bucket").distinct()
+    # a plan of its own, so that the join can split a hot bucket
+    return rows.join(stage(ends.select("bucket", "lo")), "bucket").distinct()
 
 
 def grouped(multi: DataFrame, verify: Verify, fits: str = "true", payload: list[str] | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 class Rolling:
-    """Hashes of any substring of a byte array, from prefix sums modulo 2^64."""
+    """Hashes of any run of a byte array, or of an array of 64-bit hashes, from prefix sums modulo 2^64."""
 
     values = mix(np.arange(1, 257, dtype=np.uint64))
     up = down = np.ones(1, np.uint64)
@@ -80,7 +80,8 @@ class Rolling:
             Rolling.up = np.cumprod(np.concatenate([one, np.full(size, BASE)]), dtype=np.uint64)
             Rolling.down = np.cumprod(np.concatenate([one, np.full(size, INVERSE)]), dtype=np.uint64)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(Rolling.values[data] * Rolling.up[: n - 1], dtype=np.uint64, out=self.sums[1:])
+        values = Rolling.values[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * Rolling.up[: n - 1], dtype=np.uint64, out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * Rolling.down[start]

@@ -270,6 +270,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("h").agg(
         F.count(F.lit(1)).alias("times"), F.min("dig").alias("least"), F.max("dig").alias("most")
     ).where("times > 1").select("h", (F.col("least") == F.col("most")).alias("alike"))
+    shared = stage(shared)  # a plan of its own, so that the join can split a hot anchor
     kept = stage(rows.join(shared, "h"))
     whole = kept.where("alike").select("r", "lo", "n")
     mixed = kept.where("NOT alike").drop("alike")
