@@ -354,11 +354,12 @@ def test_lines_equal_brute_force(spark):
         for _ in range(5):
             words = cases.sentence(random.Random(rng.randint(0, 15)), 30).split()
             if rng.random() < 0.6:
-                words[rng.randrange(30)] = rng.choice(["of", "zz"])
+                words[rng.randrange(30)] = rng.choice(["of", "zz"])  # short words weigh little
             own.append(" ".join(words))
         rows.append((k, "\n".join(own)))
     occurrences = [(doc, n, lines.normalised(x)) for doc, text in rows for n, x in enumerate(text.split("\n"))]
-    hashes = lines.simhashes([o[2] for o in occurrences], lines.WordVectors()).view(np.uint64)
+    table = {(k, n): sim for k, n, _, sim in (row for part in lines.line_table([t for _, t in rows]) for row in zip(*part))}
+    hashes = np.array([table[doc, n] for doc, n, _ in occurrences]).view(np.uint64)
 
     def edit(a, b):
         row = list(range(len(b) + 1))
