@@ -11,8 +11,8 @@ shorter of the remaining lengths cannot reach the bound. Every linked pair of di
 lies in a group that is joined already (``buckets.grouped``); equal sets are one class from the start.
 
 Scale: the hot list is bounded, at most (mean set size) / HOT_SHARE shingles whatever the corpus; only the first shingles
-are shuffled; counts per cell of hash space tell most false partners apart, and whole sets travel only for the others; a probe's partners are split into
-tries of bounded size.
+are shuffled; counts per cell of hash space tell most false partners apart, and whole sets travel only for the others; a family of
+near copies is checked in blocks, so that each set travels few times.
 
 Edge cases: null texts and texts without a word are empty sets, linked with nothing (component_id = doc_id); repeated rows
 get equal results; a null doc_id is skipped when the smallest id is taken; an empty table gives no rows; columns other
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.buckets import grouped, shared
-from tagloom.llm.common import in_mask, mask_of, mix, small, word_hashes
+from tagloom.llm.common import components, in_mask, mask_of, mix, small, word_hashes
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
 HOT_SHARE = 0.001
-TRIE_SETS = 256
+TRIE_SETS = 128
 CELLS = 128
 COUNTED = 1 << 21  # shingles that are counted at a time
 
@@ -193,25 +193,38 @@ def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; ``a`` is the probe of up to about ``TRIE_SETS`` partners a group."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).alias("parts"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "parts")
-    partners = dealt.join(sets, dealt["b"] == sets["node"]).select("a", "part", F.lit(False).alias("own"), F.col("node").alias("b"), "items")
-    probes = (
-        many.join(sets, many["a"] == sets["node"])
-        .select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
-                F.lit(True).alias("own"), F.col("a").alias("b"), "items")
-    )
-
-    def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group["own"].to_numpy()
-        sets = [np.frombuffer(x, ">u8").astype(np.uint64) for x in group["items"]]
-        probe = sets[int(np.argmax(own))]
-        partners = [(int(b), x) for b, x, mine in zip(group["b"], sets, own) if not mine]
-        found = walk(probe, partners, percent)
-        return pd.DataFrame({"a": np.full(len(found), int(key[0]), np.int64), "b": np.array(found, np.int64)})
+    """The pairs (a, b) whose sets are linked.
 
-    return probes.unionByName(partners).groupBy("a", "part").applyInPandas(check, "a long, b long")
+    A set travels once to each group of pairs that it is in, not once per pair: families (components of the pairs) of up to
+    ``TRIE_SETS`` sets stay together, several small ones in a group; a larger family is cut into blocks, and a
+    pair is checked where its two blocks meet.
+    """
+    family = components(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    placed = ends.join(family, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    sizes = stage(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    spread = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // TRIE_SETS)
+    blocks = F.ceil(F.col("n") / TRIE_SETS)
+    own = F.when(F.col("n") > TRIE_SETS, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)))
+    placed = stage(placed.join(sizes, "root").select("node", own.alias("family"), F.pmod(F.xxhash64("node"), blocks).alias("block")))
+    left, right = placed.toDF("a", "family", "block_a"), placed.select("node", "block").toDF("b", "block_b")
+    group = ["family", "low", "high"]
+    dealt = stage(pairs.join(left, "a").join(right, "b").select(
+        "family", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b"))
+    members = dealt.select(*group, F.col("a").alias("node")).union(dealt.select(*group, F.col("b").alias("node"))).distinct()
+    rows = members.join(sets, "node").select(*group, F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "items")
+    rows = rows.union(dealt.select(*group, "a", "b", F.lit(None).cast("binary").alias("items")))
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        held = {a: np.frombuffer(x, ">u8").astype(np.uint64) for a, x in zip(group["a"], group["items"]) if x is not None}
+        partners: dict[int, list] = {}
+        for a, b, x in zip(group["a"], group["b"], group["items"]):
+            if x is None:
+                partners.setdefault(a, []).append((b, held[b]))
+        found = [(a, b) for a, others in partners.items() for b in walk(held[a], others, percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy(*group).applyInPandas(check, "a long, b long")
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
