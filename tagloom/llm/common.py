@@ -225,8 +225,9 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("v", F.col("m").alias("u")))
             .distinct()
         )
-        after = stage(small)
-        same = now.join(after, ["v", "u"], "left_semi").count()
-        if same == now.count() == after.count():
-            return after.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        now = after
+        now = stage(small)
+        # done when all is stars: no centre hangs on another, no node on two centres
+        roles = now.select(F.col("v").alias("node"), F.lit(1).alias("leaf")).union(now.select("u", F.lit(0)))
+        mixed = roles.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least"))
+        if mixed.where("n > 1 OR (n = 1 AND least = 0)").isEmpty():
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
