@@ -20,10 +20,13 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The distinct ``rows(bucket, node)`` of buckets with two nodes or more, with the bucket's least node ``lo``."""
-    ends = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    """The distinct (bucket, node) of ``rows(bucket, node, times)`` in buckets with two nodes or more, with the bucket's leader
+    ``lo``: the node that occurs most often, which is the likely origin of a family of near copies and so nearest to all of it."""
+    ends = rows.groupBy("bucket").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.max(F.struct("times", "node")).alias("top")
+    ).where("least <> most")
     # a plan of its own, so that the join can split a hot bucket
-    return rows.join(stage(ends.select("bucket", "lo")), "bucket").distinct()
+    return rows.select("bucket", "node").join(stage(ends.select("bucket", F.col("top.node").alias("lo"))), "bucket").distinct()
 
 
 def grouped(multi: DataFrame, verify: Verify, fits: str = "true", payload: list[str] | None = None) -> DataFrame:
@@ -34,9 +37,9 @@ def grouped(multi: DataFrame, verify: Verify, fits: str = "true", payload: list[
     named x_<column> and y_<column>, that every linked pair meets.
     """
     payload = payload or []
-    first = stage(multi.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
+    first = stage(multi.where("node <> lo").select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).distinct())
     links = stage(verify(first))
-    group = components(links)
+    group = stage(components(links))
     placed = (
         multi.join(group, "node", "left")
         .select("bucket", "node", *payload, F.coalesce("root", "node").alias("root"))
@@ -59,4 +62,6 @@ def grouped(multi: DataFrame, verify: Verify, fits: str = "true", payload: list[
         .join(first, ["a", "b"], "left_anti")
     )
     more = stage(verify(stage(pairs)))
-    return components(links.select("a", "b").union(more.select("a", "b")))
+    if more.isEmpty():
+        return group
+    return components(group.toDF("a", "b").union(more.select("a", "b")))

@@ -215,8 +215,9 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours of a node join its smallest neighbour
         both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        large = large.where("v <> u")
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        # few edges start at a node now, hubs are at their ends, so one layout serves the sum and the join
+        large = large.where("v <> u").repartition("v")
         # small star: smaller neighbours and the node itself join the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (

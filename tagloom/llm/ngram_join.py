@@ -232,8 +232,13 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     docs = docs.select("doc_id", "text")
     hot = hot_shingles(docs, size)
     rows = stage(signed_sets(docs, hot, size, percent))
-    prefixes = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("bucket"), F.col("set_id").alias("node"))
-    least = rows.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    least = rows.groupBy(F.col("set_id").alias("node")).agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    least = stage(least.where("node IS NOT NULL"))
+    # a set that occurs once has one row of its shingles; of the others every task has shown one
+    often = least.where("times > 1").select(F.col("node").alias("set_id"), "times")
+    prefixes = rows.where("prefix IS NOT NULL").join(often, "set_id", "left").select(
+        F.explode("prefix").alias("bucket"), F.col("set_id").alias("node"), F.coalesce("times", F.lit(1)).alias("times"))
     multi = stage(shared(prefixes).join(least.select("node", "n"), "node"))
     profiles = rows.where("prefix IS NOT NULL").select(F.col("set_id").alias("node"), "profile", "n")
     profiles = stage(profiles.join(multi.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -246,7 +251,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 
     similar = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
     group = stage(grouped(multi, verify, similar, ["n"]))
-    roots = least.where("node IS NOT NULL").join(group, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    roots = least.join(group, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     heads = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = roots.join(heads, "root").select(F.col("node").alias("set_id"), "component_id")
     return rows.join(names, "set_id", "left").select(
