@@ -19,14 +19,14 @@ from tagloom.session import stage
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The distinct (bucket, node) of ``rows(bucket, node, times)`` in buckets with two nodes or more, with the bucket's leader
+def shared(rows: DataFrame, payload: list[str] | None = None) -> DataFrame:
+    """The distinct (bucket, node, payload) of ``rows(bucket, node, times)`` in buckets with two nodes or more, with the bucket's leader
     ``lo``: the node that occurs most often, which is the likely origin of a family of near copies and so nearest to all of it."""
     ends = rows.groupBy("bucket").agg(
         F.min("node").alias("least"), F.max("node").alias("most"), F.max(F.struct("times", "node")).alias("top")
     ).where("least <> most")
     # a plan of its own, so that the join can split a hot bucket
-    return rows.select("bucket", "node").join(stage(ends.select("bucket", F.col("top.node").alias("lo"))), "bucket").distinct()
+    return rows.select("bucket", "node", *(payload or [])).join(stage(ends.select("bucket", F.col("top.node").alias("lo"))), "bucket").distinct()
 
 
 def grouped(multi: DataFrame, verify: Verify, fits: str = "true", payload: list[str] | None = None) -> DataFrame:

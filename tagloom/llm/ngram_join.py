@@ -35,10 +35,10 @@ from tagloom.llm.common import components, in_mask, mask_of, mix, small, word_ha
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
-HOT_SHARE = 0.001
+HOT_SHARE = 0.0002
 TRIE_SETS = 128
 CELLS = 128
-COUNTED = 1 << 21  # shingles that are counted at a time
+COUNTED = 1 << 22  # shingles that are counted at a time
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -74,7 +74,7 @@ def hot_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
     def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        often = times >= max(3, HOT_SHARE * len(sets) / 2)
+        often = times >= max(2, HOT_SHARE * len(sets) / 2)
         return pa.RecordBatch.from_arrays(
             [pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], names=["token", "n"]
         )
@@ -238,8 +238,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     # a set that occurs once has one row of its shingles; of the others every task has shown one
     often = least.where("times > 1").select(F.col("node").alias("set_id"), "times")
     prefixes = rows.where("prefix IS NOT NULL").join(often, "set_id", "left").select(
-        F.explode("prefix").alias("bucket"), F.col("set_id").alias("node"), F.coalesce("times", F.lit(1)).alias("times"))
-    multi = stage(shared(prefixes).join(least.select("node", "n"), "node"))
+        F.posexplode("prefix").alias("pos", "bucket"), F.col("set_id").alias("node"), F.coalesce("times", F.lit(1)).alias("times"))
+    multi = stage(shared(prefixes, ["pos"]).join(least.select("node", "n"), "node"))
     profiles = rows.where("prefix IS NOT NULL").select(F.col("set_id").alias("node"), "profile", "n")
     profiles = stage(profiles.join(multi.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
@@ -249,8 +249,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
         wanted = stage(least.join(ends, "node", "left_semi").select("node", F.xxhash64("doc_id").alias("k")))
         return verified(near, stage(whole_sets(docs, wanted, hot, size)), percent)
 
-    similar = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
-    group = stage(grouped(multi, verify, similar, ["n"]))
+    # nothing before the first shared shingle is shared, so what follows it must hold the whole overlap
+    similar = f"{100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)"
+    group = stage(grouped(multi, verify, similar, ["n", "pos"]))
     roots = least.join(group, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     heads = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = roots.join(heads, "root").select(F.col("node").alias("set_id"), "component_id")
