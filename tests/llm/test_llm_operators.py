@@ -359,7 +359,7 @@ def test_lines_equal_brute_force(spark):
             own.append(" ".join(words))
         rows.append((k, "\n".join(own)))
     occurrences = [(doc, n, lines.normalised(x)) for doc, text in rows for n, x in enumerate(text.split("\n"))]
-    table = {(k, n): sim for k, n, _, sim in (row for part in lines.line_table([t for _, t in rows]) for row in zip(*part))}
+    table = {(k, n): sim for k, n, _, sim, _ in (row for part in lines.line_table([t for _, t in rows]) for row in zip(*part))}
     hashes = np.array([table[doc, n] for doc, n, _ in occurrences]).view(np.uint64)
 
     def edit(a, b):
