@@ -114,7 +114,7 @@ def train(labelled: DataFrame) -> tuple[list[str], list[tuple[str, str, np.ndarr
         yield pd.DataFrame([(n, None, None) for n in sorted(set(langs))] + found, columns=["a", "b", "w"])
 
     made = (
-        sample.mapInPandas(vectors, "lang string, v binary").coalesce(1)
+        sample.mapInPandas(vectors, "lang string, v binary").repartition(1)
         .mapInPandas(machines, "a string, b string, w binary").collect()
     )
     return [r.a for r in made if r.w is None], [(r.a, r.b, np.frombuffer(r.w, np.float32)) for r in made if r.w]

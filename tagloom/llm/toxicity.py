@@ -126,7 +126,7 @@ def train(labelled: DataFrame) -> Machine:
         yield pd.DataFrame([(m.bias, *(a.tobytes() for a in (m.kept, m.w, m.v)))], columns=["bias", "kept", "w", "v"])
 
     made = (
-        sample.mapInPandas(sets, "y int, t binary").coalesce(1)
+        sample.mapInPandas(sets, "y int, t binary").repartition(1)
         .mapInPandas(learn, "bias double, kept binary, w binary, v binary").collect()
     )
     if not made:
