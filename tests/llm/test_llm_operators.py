@@ -389,6 +389,38 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: r.n_removed for r in lines.query(df).collect()} == {k: gone[k] for k, _ in rows}
 
 
+def test_lines_find_edited_letters_and_words(spark):
+    rng = random.Random(81)
+    word = lambda n: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(n))
+    rows, kinds = [], {}
+    for k in range(600):
+        words = [word(rng.randint(2, 9)) for _ in range(rng.randint(8, 40))]
+        edited, kind, at = list(words), k % 4, rng.randrange(len(words))
+        if kind == 0:  # a letter of any word
+            i = rng.randrange(len(words[at]))
+            edited[at] = words[at][:i] + "z" + words[at][i + 1:]
+        elif kind == 1:
+            edited[-1] += "s"
+        elif kind == 2:  # a letter of the longest word
+            at = max(range(len(words)), key=lambda i: len(words[i]))
+            edited[at] = words[at][:-2] + "z" + words[at][-1]
+        else:  # another word
+            edited[at] = word(len(words[at]))
+        if len(edited[at]) > 0.1 * len(" ".join(words)) and kind == 3:
+            continue  # might be too far
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+        kinds[2 * k + 1] = kind
+    got = {r.doc_id: r.n_removed for r in lines.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(n for doc, n in got.items() if doc % 2 == 0)
+    for kind in range(4):
+        found = [got[doc] for doc in kinds if kinds[doc] == kind]
+        assert len(found) > 100 and sum(found) >= 0.97 * len(found), (kind, sum(found), len(found))
+    # a line without spaces has grams like any other
+    plain = "一二" + "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    got = lines.query(spark.createDataFrame([(1, plain), (2, plain[:20] + "龥" + plain[21:])], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 1)]
+
+
 # --- 8 mixing ------------------------------------------------------------------------------
 
 
