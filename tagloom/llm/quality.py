@@ -9,8 +9,8 @@ Only DataFrame functions are used. Statistics are narrow rows; a language or sou
 holds a third of all rows is summed before its shuffle, and no group is ever collected.
 
 Edge cases: a null or empty text has zero words and fails the base rules; null language or source is a
-group of its own; groups under ``LEAST_ROWS`` rows use the estimate of their language, or of all
-rows; below that everything passes. Repeated rows are counted as often as they occur. Columns other than
+group of its own; groups under ``LEAST_ROWS`` rows that pass the base rules use the estimate of their language, or of all
+rows, taken over all passing rows of that level; below that everything passes. Repeated rows are counted as often as they occur. Columns other than
 doc_id, text, lang, source are ignored.
 """
 
@@ -185,27 +185,41 @@ def estimates(rows: DataFrame) -> DataFrame:
     return estimate
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """``g``: (language, source), or the language, or all rows, by the first with enough rows."""
-    both = F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")))
-    one = F.to_json(F.struct(F.col("lang").alias("l")))
-    count = stats.groupBy(both.alias("_both"), one.alias("_one")).agg(F.count(F.lit(1)).alias("_n"))
-    count = count.withColumn("_m", F.sum("_n").over(Window.partitionBy("_one")))
-    g = F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")).when(F.col("_m") >= LEAST_ROWS, F.col("_one")).otherwise("all")
-    names = count.select("_both", g.alias("g"))
-    return stats.withColumn("_both", both).join(names, "_both").drop("_both")
+def levels(passing: DataFrame) -> DataFrame:
+    """Each row of ``passing(lang, source, x0..)`` in all its groups ``g``: language and source, language, all rows."""
+    return passing.select(F.explode(F.array(*_level_keys())).alias("g"), *AXES)
+
+
+def _level_keys() -> list[Column]:
+    # a missing field is left out of the JSON, so the levels are told apart by their first letter
+    both, one = F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))), F.to_json(F.struct(F.col("lang").alias("l")))
+    return [F.concat(F.lit("b"), both), F.concat(F.lit("l"), one), F.lit("all")]
+
+
+def level_names(rows: DataFrame) -> DataFrame:
+    """(_both, g, _enough) of every (language, source): ``g`` is the first of it, its language and all rows with ``LEAST_ROWS`` rows that
+    pass the base rules; ``_enough`` is false, and ``g`` "all", if none has."""
+    both, one, every = _level_keys()
+    ok = F.sum((~base_failed()).cast("long"))
+    count = rows.groupBy(both.alias("_both"), one.alias("_one")).agg(ok.alias("_n"))
+    # as many rows as there are languages and sources
+    count = count.withColumn("_m", F.sum("_n").over(Window.partitionBy("_one"))).withColumn("_a", F.sum("_n").over(Window.partitionBy()))
+    g = F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")).when(F.col("_m") >= LEAST_ROWS, F.col("_one")).otherwise(every)
+    return count.select("_both", g.alias("g"), (F.greatest("_n", "_m", "_a") >= LEAST_ROWS).alias("_enough"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared) and kept, one row per row of ``docs``."""
     stats = stage(vectors(base_statistics(docs)))
-    rows = stage(grouped(stats))
-    passing = rows.where(~base_failed()).select("g", *AXES)
+    names = stage(level_names(stats))
+    rows = stats.withColumn("_both", _level_keys()[0]).join(names, "_both").drop("_both")
+    # only the levels that some group uses are estimated, each from all its passing rows
+    used = names.select("g").distinct()
+    passing = stage(levels(stats.where(~base_failed())).join(used, "g", "left_semi"))
     cut = chi2_quantile(CUT, len(AXES))
     scored = with_distance(rows, estimates(passing))
-    enough = passing.groupBy("g").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= LEAST_ROWS)
-    far = F.col("_rows").isNotNull() & F.coalesce(F.col("d2") > cut, F.lit(False))
-    return scored.join(enough, "g", "left").select(
+    far = F.col("_enough") & F.coalesce(F.col("d2") > cut, F.lit(False))
+    return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),
         (~base_failed() & ~far).alias("kept"),

@@ -137,6 +137,23 @@ def test_quality_rejects_outliers_like_numpy(spark):
     assert np.abs(mine - d).max() < 0.05 * (1 + d.max())
 
 
+def test_quality_small_sources_use_their_whole_level(spark):
+    rng = random.Random(4)
+    text = lambda: cases.sentence(rng, rng.randint(50, 300))
+    odd = lambda: " ".join(w + "###" for w in cases.sentence(rng, 120).split())
+    rows = [(k, text(), "en", "A") for k in range(600)]
+    rows += [(1000 + k, text(), "en", "B") for k in range(40)] + [(1100, odd(), "en", "B")]  # small beside a large source
+    rows += [(1200 + k, text(), None, "C") for k in range(20)] + [(1300, odd(), None, "C")]  # a rare language
+    rows += [(2000 + k, text(), "fr", "D") for k in range(190)] + [(2300 + k, "too short", "fr", "D") for k in range(20)]
+    rows += [(2400, odd(), "fr", "D")]  # enough rows, but not enough of them pass
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[k].kept for k in (1100, 1300, 2400))
+    good = [k for k, *_ in rows if k not in (1100, 1300, 2400) and not 2300 <= k < 2320]
+    assert sum(got[k].kept for k in good) >= len(good) - 3
+
+
 # --- 2 licences ----------------------------------------------------------------------------
 
 
