@@ -179,8 +179,15 @@ def scan(files: DataFrame, notice: Column | None = None, markup: bool = False) -
     )
 
 
-def query(pages: DataFrame) -> DataFrame:
-    """Pages by url: every page with a statement speaks for its directory, as sites have no licence files."""
+def query(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every page and every document: origin (the table), file (its id), path and what ``scan`` says of it.
+
+    A page lies at its url, and every page with a statement speaks for its directory, as sites have no licence files. A document
+    lies in its source; as it is no licence file, its statement speaks for itself alone.
+    """
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), r"[?#].*$|/+$", "")
-    files = pages.select(F.col("page_id").alias("file"), path.alias("path"), F.col("html").alias("text"))
-    return scan(files, F.col("own_licence").isNotNull(), markup=True).withColumnRenamed("file", "page_id")
+    files = pages.select(F.col("page_id").cast("string").alias("file"), path.alias("path"), F.col("html").alias("text"))
+    of_pages = scan(files, F.col("own_licence").isNotNull(), markup=True)
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    texts = documents.select(F.col("doc_id").cast("string").alias("file"), name.alias("path"), "text")
+    return of_pages.select(F.lit("pages").alias("origin"), "*").union(scan(texts).select(F.lit("documents"), "*"))

@@ -19,7 +19,7 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": _on("documents", quality.verdicts),
-    "op2_license_scans": _on("pages", licenses.query),
+    "op2_license_scans": lambda spark, d: licenses.query(table(spark, d, "pages"), table(spark, d, "documents")),
     "op3_ngram_join": _on("documents", ngram_join.join),
     "op4_repeats": _on("documents", repeats.query),
     "op5_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),

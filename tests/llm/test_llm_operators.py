@@ -182,6 +182,18 @@ def test_licence_cosine_by_hand(spark):
     assert got[2].licence is None and abs(got[2].score - want) < 1e-9
 
 
+def test_licences_of_pages_and_documents(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/c/d", "<p>Released under the MIT License.</p>"), (2, "http://a.b/c/e", "<p>x</p>")],
+                                  "page_id long, url string, html string")
+    texts = spark.createDataFrame([(1, "one\nLicensed under CC BY-SA 4.0.\ntwo", "s"), (2, "none", "s"), (3, "Released under the MIT License.", None), (4, None, "s")],
+                                  "doc_id long, text string, source string")
+    got = {(r.origin, r.file): (r.own_licence, r.licence) for r in licenses.query(pages, texts).collect()}
+    assert got == {
+        ("pages", "1"): ("MIT", "MIT"), ("pages", "2"): (None, "MIT"), ("documents", "1"): ("CC-BY-SA-4.0",) * 2,
+        ("documents", "2"): (None, None), ("documents", "3"): ("MIT", "MIT"), ("documents", "4"): (None, None),
+    }
+
+
 # --- 3 n-gram join -------------------------------------------------------------------------
 
 
