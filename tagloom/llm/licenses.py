@@ -150,7 +150,8 @@ def directory_licences(notices: DataFrame) -> DataFrame:
 def inherited(dirs: DataFrame, licences: DataFrame) -> DataFrame:
     """``dirs(dir)``, ``licences(dir, licence)`` -> dir, licence, licence_dir and levels up to it."""
     parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(
+    # from 0, as the root, the empty path, is above every directory
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(
         F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up"), (F.size(parts) - k).alias("levels")))
     each = dirs.where("dir IS NOT NULL").distinct().select("dir", F.inline(above))
     return (
@@ -186,6 +187,7 @@ def query(pages: DataFrame, documents: DataFrame) -> DataFrame:
     lies in its source; as it is no licence file, its statement speaks for itself alone.
     """
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), r"[?#].*$|/+$", "")
+    path = F.when(path.contains("/"), path).otherwise(F.concat(path, F.lit("/")))  # a home page lies in its host
     files = pages.select(F.col("page_id").cast("string").alias("file"), path.alias("path"), F.col("html").alias("text"))
     of_pages = scan(files, F.col("own_licence").isNotNull(), markup=True)
     name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))

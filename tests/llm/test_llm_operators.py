@@ -194,6 +194,17 @@ def test_licences_of_pages_and_documents(spark):
     }
 
 
+def test_licences_of_roots_and_home_pages(spark):
+    files = [(1, "LICENSE", "Released under the MIT License."), (2, "src/a/x.py", "code"), (3, "y.py", "code"), (4, "src/COPYING", "Licensed under CC BY 4.0."),
+             (5, "lib/z.py", "code")]
+    got = {r.file: (r.licence, r.licence_dir, r.levels) for r in licenses.scan(spark.createDataFrame(files, "file long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None, None), 2: ("CC-BY-4.0", "src", 1), 3: ("MIT", "", 0), 4: ("CC-BY-4.0", None, None), 5: ("MIT", "", 1)}
+    pages = [(1, "https://one.org/", "Released under the MIT License."), (2, "https://one.org/a/b", "x"), (3, "https://two.org", "x"), (4, "https://two.org/?q=1", "x")]
+    texts = spark.createDataFrame([], "doc_id long, text string, source string")
+    got = {r.file: r.licence for r in licenses.query(spark.createDataFrame(pages, "page_id long, url string, html string"), texts).collect()}
+    assert got == {"1": "MIT", "2": "MIT", "3": None, "4": None}
+
+
 # --- 3 n-gram join -------------------------------------------------------------------------
 
 
