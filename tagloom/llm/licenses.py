@@ -11,7 +11,7 @@ the templates and their terms' weights, bounded by the template list. Directorie
 number of their files, so a directory with a third of all files is one row.
 
 Edge cases: a null or empty text has no own licence; a null path has no directory and inherits nothing; of several licences in
-one directory the most frequent wins, then the first by name; equal cosines go to the first template by name; repeated
+one directory the most frequent wins, then the first by name; equal cosines go to the first template by name; a template with a version is met only by a statement with that version; repeated
 rows get equal results; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
@@ -32,7 +32,7 @@ from tagloom.session import stage
 
 LEAST = 0.6
 NOTICE_NAME = r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([._-].*)?$"
-#: Usual short notices by licence.
+#: Usual short notices by licence; whole licence texts are not among them.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -45,12 +45,29 @@ TEMPLATES = {
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Simplified BSD License"],
+    "CC-BY-3.0": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "Licensed under CC BY 3.0."],
+    "CC-BY-NC-3.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.", "Licensed under CC BY-NC 3.0."],
+    "CC-BY-SA-3.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "Licensed under CC BY-SA 3.0."],
+    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "Licensed under CC0 1.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "ISC": ["Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: A text with the opening words that both BSD licences share and without this one's third clause, but with the second, is the shorter one.
+BSD_SECOND, BSD_THIRD = (re.compile(r, re.I) for r in (r"binary form must reproduce", r"neither\W+the\W+names?\b|names? of .{0,200}may not be used to endorse"))
+VERSION = re.compile(r"v?([0-9]{1,2}(?:\.[0-9]+)*)")
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 TAG = re.compile(r"<[^>]*>")
-CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+(?=\S)")
+CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+(?=[^\s0-9])")
 
 
 def statements(text: str, markup: bool = False) -> list[list[str]]:
@@ -61,6 +78,11 @@ def statements(text: str, markup: bool = False) -> list[list[str]]:
     return [s for s in cut if s]
 
 
+def versions(terms: list[str]) -> frozenset[str]:
+    """Version numbers among ``terms``, without zeros at the end."""
+    return frozenset(re.sub(r"(\.0+)+$", "", m[1]) for t in terms if (m := VERSION.fullmatch(t)))
+
+
 def vocabulary(templates: dict[str, list[str]]) -> set[str]:
     return {t for texts in templates.values() for x in texts for s in statements(x) for t in s}
 
@@ -98,18 +120,20 @@ def own_licences(
     templates = templates or TEMPLATES
     idf, rare = idf_weights(files, templates, markup)
     index: dict[str, list[tuple[int, float]]] = {}
-    names = []
+    names, needs = [], []
     for name in sorted(templates):
         for text in templates[name]:
             w, length = weighed([t for s in statements(text) for t in s], idf, rare)
             for t, x in w.items():
                 index.setdefault(t, []).append((len(names), x / length))
             names.append(name)
+            needs.append(versions([t for s in statements(text) for t in s]))
     id_type = files.schema["file"].dataType.simpleString()
 
     def closest(text: str | None) -> tuple[str | None, float]:
         best, who = 0.0, None
-        for terms in statements(text or "", markup):
+        found = statements(text or "", markup)
+        for at, terms in enumerate(found):
             if index.keys().isdisjoint(terms):
                 continue
             w, length = weighed(terms, idf, rare)
@@ -117,9 +141,15 @@ def own_licences(
             for t, x in w.items():
                 for k, y in index[t]:
                     dots[k] = dots.get(k, 0.0) + x * y
-            k = max(dots, key=lambda k: (dots[k], -k))
-            if dots[k] / length > best + 1e-12:
+            if max(dots.values()) / length <= best + 1e-12:
+                continue
+            # a notice in several lines has its version in the next one, or in that before
+            own = versions(terms) or versions([t for s in found[max(at - 1, 0):at + 2] for t in s])
+            k = max((k for k in dots if needs[k] <= own), key=lambda k: (dots[k], -k), default=None)
+            if k is not None and dots[k] / length > best + 1e-12:
                 best, who = dots[k] / length, names[k]
+        if who == "BSD-3-Clause" and BSD_SECOND.search(text) and not BSD_THIRD.search(text):
+            who = "BSD-2-Clause"
         return (who if best >= least else None), best
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

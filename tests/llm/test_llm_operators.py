@@ -205,6 +205,25 @@ def test_licences_of_roots_and_home_pages(spark):
     assert got == {"1": "MIT", "2": "MIT", "3": None, "4": None}
 
 
+def test_licences_with_their_versions(spark):
+    work = "This work is licensed under "
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n" \
+        "2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    cases_ = {
+        work + "the GNU General Public License, version 2.": "GPL-2.0", work + "the GNU General Public License, version 3.": "GPL-3.0",
+        work + "the GNU General Public License, version 7.": None, work + "the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        work + "the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        work + "a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0", bsd: "BSD-2-Clause",
+        bsd + "3. Neither the name of the copyright holder may be used.": "BSD-3-Clause",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or": "GPL-2.0",
+    }
+    filler = [(100 + k, cases.sentence(random.Random(k), 20)) for k in range(200)]
+    df = spark.createDataFrame([*enumerate(cases_), *filler], "file long, text string")
+    got = {r.file: r.licence for r in licenses.own_licences(df).collect()}
+    assert [got[k] for k in range(len(cases_))] == list(cases_.values())
+
+
 # --- 3 n-gram join -------------------------------------------------------------------------
 
 
