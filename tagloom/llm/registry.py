@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tagloom.llm import fingerprint, language, licenses, lines, mixing, ngram_join, packing, quality, repeats, toxicity
+from tagloom.llm import (
+    fingerprint, language, licenses, lines, mixing, ngram_join, packing, phrase_index, quality, repeats, spelling, toxicity, vector_codes,
+)
 from tagloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": _on("documents", mixing.mix),
     "op9_fingerprints": _on("documents", fingerprint.fingerprints),
     "op10_language": _on("documents", language.query),
+    "op11_phrase_index": lambda spark, d: phrase_index.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_vector_codes": _on("embeddings", vector_codes.query),
+    "op13_spelling": _on("documents", spelling.query),
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
