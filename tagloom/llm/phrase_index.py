@@ -2,15 +2,15 @@
 
 ``build`` reads the training texts once and stores, sorted by term, the places of every word that a given set of items can ask for:
 rows (term, texts, places), each of one bounded slice of texts, so that no list is a single row. ``exact`` finds the windows of
-``WINDOW`` consecutive item words that occur in a text. The lists of a window's ``SEEDS`` rarest words come first: a place less the word's
-offset in the item is a *diagonal*, and lists are intersected by adding up, per (text, item, diagonal), a bit for each offset that was met. Only
-diagonals on which all seeds of some window agree go on; the lists of the other words are then read for their texts, and a window occurs
-where its bits are all set. ``near`` finds windows whose rarest words lie close together though not in place: on diagonals
+``WINDOW`` consecutive item words that occur in a text. The lists of a window's ``SEEDS`` rarest words come first, as lists of texts: only texts that hold all seeds
+of some window go on. A place less the word's offset in the item is a *diagonal*, and lists are intersected by adding up, per (text, item, diagonal),
+a bit for each offset that was met. Where all seeds of some window agree, the lists of its other words are read for the places that are
+asked for, and a window occurs where its bits are all set. ``near`` finds windows whose rarest words lie close together though not in place: on diagonals
 of one stretch [k * SLACK, (k + 2) * SLACK).
 
 Scale: an item is cut into chunks of ``CHUNK`` windows, so a diagonal's bits fit one long and sums of bits are formed before every shuffle.
 Index rows hold what one slice of about a megabyte has of one term; lists of frequent words are many rows in many files. A window with a word that
-no text holds asks for nothing. Which texts to read in the second step is told by a mask of fixed size. No side carries a broadcast hint. Texts are known by 64-bit
+no text holds asks for nothing. Which texts and places to read in the later steps is told by masks of fixed size. No side carries a broadcast hint. Texts are known by 64-bit
 hashes, so a text that a third of all documents repeat is one key.
 
 Edge cases: null texts and texts without words have no places, items without words no windows; items of fewer than ``WINDOW`` words are one
@@ -33,6 +33,7 @@ from tagloom.llm.common import LOWER, SCAN_BYTES, Rolling, batched, in_mask, mas
 from tagloom.session import shared_dir, stage
 
 WINDOW, SEEDS, SLACK = 10, 3, 10
+FREQUENT = 8  # times in a slice of texts
 CHUNK = 63 - WINDOW  # windows of a chunk: its words fit the bits of a long beside the sign
 IS_TERM = np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)])
 
@@ -79,32 +80,33 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, item, chunk, windows, span, at, term): the words of every chunk of an item at their offsets. ``span``: words of a window."""
+    """(item_id, unit, windows, span, at, term): the words of every chunk of an item at their offsets. ``unit`` names the chunk, ``span`` is the
+    words of a window."""
     id_type = items.schema["item_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            item = batch.column(1).to_numpy().view(np.uint64)
+            out = []  # row, unit, windows, span, words
             for base, row, place, term in scan(batch.column(2)):
-                out = []
                 for r in np.unique(row):
                     words = term[row == r]
                     span = min(WINDOW, len(words))
                     for chunk in range(0, len(words) - span + 1, CHUNK):
                         held = min(CHUNK, len(words) - span + 1 - chunk)
-                        part = words[chunk : chunk + held + span - 1]
-                        out.append((base + r, chunk // CHUNK, held, span, part))
-                size = [len(o[4]) for o in out]
-                take = pa.array(np.repeat([o[0] for o in out], size).astype(np.int64))
-                each = [pa.array(np.repeat([o[k] for o in out], size).astype(np.int32)) for k in (1, 2, 3)]
-                at = pa.array(np.concatenate([np.arange(n) for n in size] or [[]]).astype(np.int32))
-                terms = pa.array(np.concatenate([o[4] for o in out] or [[]]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *each, at, terms],
-                    names=["item_id", "item", "chunk", "windows", "span", "at", "term"],
-                )
+                        unit = mix(item[base + r : base + r + 1] ^ mix(np.array([chunk], np.uint64)))
+                        out.append((base + r, unit.view(np.int64)[0], held, span, words[chunk : chunk + held + span - 1]))
+            size = [len(o[4]) for o in out]
+            column = lambda k, kind: pa.array(np.repeat(np.array([o[k] for o in out], kind), size))
+            at = np.concatenate([np.arange(n) for n in size] or [[]]).astype(np.int32)
+            terms = np.concatenate([o[4] for o in out] or [[]]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(column(0, np.int64)), column(1, np.int64), column(2, np.int32), column(3, np.int32), pa.array(at), pa.array(terms)],
+                names=["item_id", "unit", "windows", "span", "at", "term"],
+            )
 
     rows = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").dropDuplicates(["item"])
-    return rows.mapInArrow(read, f"item_id {id_type}, item long, chunk int, windows int, span int, at int, term long")
+    return rows.mapInArrow(read, f"item_id {id_type}, unit long, windows int, span int, at int, term long")
 
 
 def build(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -131,74 +133,85 @@ def build(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     rows = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), "text")
     lists = rows.mapInArrow(read, "term long, texts array<long>, places array<int>")
     path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    # lists of one frequent term may be dealt over several files
-    dealt = lists.withColumn("_deal", F.xxhash64(F.col("texts")[0])).repartitionByRange("term", "_deal").drop("_deal")
-    dealt.sortWithinPartitions("term").write.parquet(path)
+    # lists of a term that a slice holds often are dealt over all files
+    deal = F.when(F.size("places") > FREQUENT, F.xxhash64(F.col("texts")[0])).otherwise(F.lit(0))
+    lists.repartition("term", deal).sortWithinPartitions("term").write.parquet(path)
     return spark.read.parquet(path)
 
 
+def bit(offset: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), offset)
+
+
 def seeds(words: DataFrame, index: DataFrame, count: int = SEEDS) -> DataFrame:
-    """(item, chunk, seeds): for every chunk with a window that may occur, the bits of the ``count`` rarest words of each such window."""
+    """(unit, seeds): for every chunk with a window that may occur, the bits of the ``count`` rarest words of each such window."""
     lengths = index.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
     # words outside the index have no count; a window with one of them occurs nowhere
-    held = words.join(lengths, "term").groupBy("item", "chunk").agg(
+    held = words.join(lengths, "term").groupBy("unit").agg(
         F.first("windows").alias("windows"), F.first("span").alias("span"), F.collect_list(F.struct("n", "at")).alias("held")
     )
 
     def rarest(s: Column) -> Column:
         own = F.array_sort(F.filter("held", lambda h: (h["at"] >= s) & (h["at"] < s + F.col("span"))))
-        bits = F.aggregate(F.slice(own, 1, count), F.lit(0).cast("long"),
-                           lambda b, h: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h["at"])))
+        bits = F.aggregate(F.slice(own, 1, count), F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(bit(h["at"])))
         return F.when(F.size(own) == F.col("span"), bits)
 
     bits = F.filter(F.transform(F.sequence(F.lit(0), F.col("windows") - 1), rarest), lambda b: b.isNotNull())
-    return held.select("item", "chunk", bits.alias("seeds")).where("size(seeds) > 0")
-
+    return held.select("unit", bits.alias("seeds")).where("size(seeds) > 0")
 
-def bit(offset: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), offset)
 
+def agreeing(hits: DataFrame, asked: DataFrame, *place: str) -> DataFrame:
+    """(text_key, unit, place) where all seeds of some window are met."""
+    met = hits.groupBy("text_key", "unit", *place).agg(F.bit_or("hit").alias("hit")).join(asked, "unit")
+    return met.where(F.exists("seeds", lambda s: F.col("hit").bitwiseAND(s) == s)).select("text_key", "unit", *place)
 
-def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(text_key, item, chunk, diagonal, hit): the places of all seeds, on their diagonals."""
-    of_window = F.aggregate("seeds", F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    wanted = words.join(asked.select("item", "chunk", of_window.alias("all")), ["item", "chunk"])
-    wanted = stage(wanted.where(F.col("all").bitwiseAND(bit(F.col("at"))) != 0).select("item", "chunk", "at", "term"))
-    lists = index.join(wanted, "term").select(
-        "item", "chunk", "at", F.explode(F.arrays_zip("texts", "places")).alias("p")
-    )
-    return lists.select(F.col("p.texts").alias("text_key"), "item", "chunk", (F.col("p.places") - F.col("at")).alias("diagonal"),
-                        bit(F.col("at")).alias("hit"))
 
+def spot(text_key, place):
+    """A hash of a place in a text, of columns or arrays: both probes of a mask depend on both."""
+    if isinstance(place, np.ndarray):
+        return text_key ^ (place.astype(np.int64) << 7) ^ (place.astype(np.int64) << 29)
+    place = place.cast("long")
+    return text_key.bitwiseXOR(F.shiftleft(place, 7)).bitwiseXOR(F.shiftleft(place, 29))
 
-def agreeing(hits: DataFrame, asked: DataFrame, place: str) -> DataFrame:
-    """(text_key, item, chunk, place) where all seeds of some window are met."""
-    met = hits.groupBy("text_key", "item", "chunk", place).agg(F.bit_or("hit").alias("hit"))
-    # a single bit is no agreement unless a window has a single seed
-    met = met.join(asked, ["item", "chunk"])
-    return met.where(F.exists("seeds", lambda s: F.col("hit").bitwiseAND(s) == s)).select("text_key", "item", "chunk", place)
 
-
-def exact(words: DataFrame, index: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
-    """(text_key, item, chunk, diagonal, starts, span): bit s of ``starts``: window s of the chunk occurs in the text at place diagonal + s."""
-    likely = stage(agreeing(hits, asked, "diagonal"))
-    ways = likely.join(words.select("item", "chunk", "windows", "span", "at", "term"), ["item", "chunk"])
-    wanted = ways.select("text_key", "term", (F.col("diagonal") + F.col("at")).alias("place"), "item", "chunk", "diagonal", "windows", "span", "at")
-    mask = mask_of(likely, "text_key")
+def places_of(index: DataFrame, terms: DataFrame, mask: np.ndarray, of_place: bool) -> DataFrame:
+    """(term, text_key, place) of the ``terms`` for texts, or ``spot``s of places, in the mask, and a few others."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            text, place = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            held = in_mask(mask, text)
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            text, place = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            held = in_mask(mask, spot(text, place) if of_place else text)
             term = np.repeat(batch.column(0).to_numpy(), size)[held]
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(text[held]), pa.array(place[held])], names=["term", "text_key", "place"])
 
-    lists = index.join(words.join(likely.select("item", "chunk").distinct(), ["item", "chunk"]).select("term").distinct(), "term", "left_semi")
-    lists = lists.select("term", "texts", "places").mapInArrow(read, "term long, text_key long, place int")
-    met = lists.distinct().join(wanted, ["term", "text_key", "place"])
-    bits = met.groupBy("text_key", "item", "chunk", "diagonal").agg(
+    lists = index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "texts", "places")
+    return lists.mapInArrow(read, "term long, text_key long, place int")
+
+
+def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(text_key, unit, diagonal, hit): the places of seeds, on their diagonals, in texts that hold all seeds of some window anywhere."""
+    of_window = F.aggregate("seeds", F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    wanted = words.join(asked.select("unit", of_window.alias("all")), "unit")
+    wanted = stage(wanted.where(F.col("all").bitwiseAND(bit(F.col("at"))) != 0).select("unit", "at", "term"))
+    hit = bit(F.col("at")).alias("hit")
+    # a text counts once per list and slice
+    lists = index.join(wanted, "term").select("unit", "at", F.explode(F.array_distinct("texts")).alias("text_key"))
+    texts = stage(agreeing(lists.select("text_key", "unit", hit), asked))
+    places = places_of(index, wanted, mask_of(texts, "text_key"), False)
+    on = places.join(wanted, "term").join(texts, ["text_key", "unit"])
+    return on.select("text_key", "unit", (F.col("place") - F.col("at")).alias("diagonal"), hit)
+
+
+def exact(words: DataFrame, index: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """(text_key, unit, diagonal, span, starts): bit s of ``starts``: window s of the chunk occurs in the text at place diagonal + s."""
+    likely = agreeing(hits, asked, "diagonal")
+    wanted = stage(likely.join(words, "unit").select(
+        "text_key", "term", (F.col("diagonal") + F.col("at")).alias("place"), "unit", "diagonal", "windows", "span", "at"
+    ))
+    spots = mask_of(wanted.select(spot(F.col("text_key"), F.col("place")).alias("spot")), "spot")
+    met = places_of(index, wanted, spots, True).distinct().join(wanted, ["term", "text_key", "place"])
+    bits = met.groupBy("text_key", "unit", "diagonal").agg(
         F.bit_or(bit(F.col("at"))).alias("bits"), F.first("windows").alias("windows"), F.first("span").alias("span")
     )
     run = F.expr("shiftleft(1L, span) - 1")
@@ -206,14 +219,14 @@ def exact(words: DataFrame, index: DataFrame, hits: DataFrame, asked: DataFrame)
         F.sequence(F.lit(0), F.col("windows") - 1), F.lit(0).cast("long"),
         lambda a, s: a.bitwiseOR(F.when(F.call_function("shiftright", F.col("bits"), s).bitwiseAND(run) == run, bit(s)).otherwise(F.lit(0).cast("long"))),
     )
-    return bits.select("text_key", "item", "chunk", "diagonal", "span", starts.alias("starts")).where("starts <> 0")
+    return bits.select("text_key", "unit", "diagonal", "span", starts.alias("starts")).where("starts <> 0")
 
 
 def near(hits: DataFrame, asked: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(text_key, item): texts where, for some k, the seeds of a window all lie on diagonals of [k * slack, (k + 2) * slack)."""
+    """(text_key, unit): texts where, for some k, the seeds of a window all lie on diagonals of [k * slack, (k + 2) * slack)."""
     k = F.floor(F.col("diagonal") / slack).cast("int")
-    both = hits.select("text_key", "item", "chunk", F.explode(F.array(k, k - 1)).alias("k"), "hit")
-    return agreeing(both, asked, "k").select("text_key", "item").distinct()
+    both = hits.select("text_key", "unit", F.explode(F.array(k, k - 1)).alias("k"), "hit")
+    return agreeing(both, asked, "k").select("text_key", "unit").distinct()
 
 
 def hit_words(found: DataFrame) -> DataFrame:
@@ -247,12 +260,12 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     asked = stage(seeds(words, index))
     hits = stage(seed_hits(words, index, asked))
     found = stage(exact(words, index, hits, asked))
-    ids = words.select("item", "item_id").distinct()
-    named = found.select("text_key", "item").distinct().join(ids, "item").select("text_key", "item_id").distinct()
+    ids = words.select("unit", "item_id").distinct()
+    named = found.select("text_key", "unit").distinct().join(ids, "unit").select("text_key", "item_id").distinct()
     lists = named.groupBy("text_key").agg(
         F.count("item_id").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids")
     )
-    close = near(hits, asked).join(ids, "item").groupBy("text_key").agg(F.count_distinct("item_id").alias("n_near"))
+    close = near(hits, asked).join(ids, "unit").groupBy("text_key").agg(F.count_distinct("item_id").alias("n_near"))
     result = stage(hit_words(found).join(lists, "text_key", "full").join(close, "text_key", "full"))
     joined = F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",")
     zero = F.lit(0).cast("long")
