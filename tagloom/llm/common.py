@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.session import stage
+from tagloom.session import shared_dir, stage
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,6 +32,13 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder, whose size is known when a join is planned, so that a small side needs no shuffle of the large one."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def part_hash(*columns: str, salt: int = 0) -> Column:
     return F.xxhash64(*columns, F.lit(salt))
 

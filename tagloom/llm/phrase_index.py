@@ -10,7 +10,7 @@ of one stretch [k * SLACK, (k + 2) * SLACK).
 
 Scale: an item is cut into chunks of ``CHUNK`` windows, so a diagonal's bits fit one long and sums of bits are formed before every shuffle.
 Index rows hold what one slice of about a megabyte has of one term; lists of frequent words are many rows in many files. A window with a word that
-no text holds asks for nothing. Which texts and places to read in the later steps is told by masks of fixed size. No side carries a broadcast hint. Texts are known by 64-bit
+no text holds asks for nothing. Which texts and places to read in the later steps is told by masks of fixed size. Small tables are kept as files, so that Spark knows their size when it plans a join; no side carries a broadcast hint. Texts are known by 64-bit
 hashes, so a text that a third of all documents repeat is one key.
 
 Edge cases: null texts and texts without words have no places, items without words no windows; items of fewer than ``WINDOW`` words are one
@@ -21,7 +21,6 @@ is that of an empty string. Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, SCAN_BYTES, Rolling, batched, in_mask, mask_of, mix
-from tagloom.session import shared_dir, stage
+from tagloom.llm.common import LOWER, SCAN_BYTES, Rolling, batched, filed, in_mask, mask_of, mix
 
 WINDOW, SEEDS, SLACK = 10, 3, 10
 FREQUENT = 8  # times in a slice of texts
@@ -112,7 +110,6 @@ def item_words(items: DataFrame) -> DataFrame:
 def build(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The index, as a table in the shared folder: (term, texts, places), sorted by term. ``terms(term)`` bounds it to the words that
     will be asked for, and a few others; without it every word is stored."""
-    spark = docs.sparkSession
     mask = None if terms is None else mask_of(terms, "term")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +129,9 @@ def build(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
     rows = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), "text")
     lists = rows.mapInArrow(read, "term long, texts array<long>, places array<int>")
-    path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
     # lists of a term that a slice holds often are dealt over all files
     deal = F.when(F.size("places") > FREQUENT, F.xxhash64(F.col("texts")[0])).otherwise(F.lit(0))
-    lists.repartition("term", deal).sortWithinPartitions("term").write.parquet(path)
-    return spark.read.parquet(path)
+    return filed(lists.repartition("term", deal).sortWithinPartitions("term"))
 
 
 def bit(offset: Column) -> Column:
@@ -193,11 +188,11 @@ def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame
     """(text_key, unit, diagonal, hit): the places of seeds, on their diagonals, in texts that hold all seeds of some window anywhere."""
     of_window = F.aggregate("seeds", F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     wanted = words.join(asked.select("unit", of_window.alias("all")), "unit")
-    wanted = stage(wanted.where(F.col("all").bitwiseAND(bit(F.col("at"))) != 0).select("unit", "at", "term"))
+    wanted = filed(wanted.where(F.col("all").bitwiseAND(bit(F.col("at"))) != 0).select("unit", "at", "term"))
     hit = bit(F.col("at")).alias("hit")
     # a text counts once per list and slice
     lists = index.join(wanted, "term").select("unit", "at", F.explode(F.array_distinct("texts")).alias("text_key"))
-    texts = stage(agreeing(lists.select("text_key", "unit", hit), asked))
+    texts = filed(agreeing(lists.select("text_key", "unit", hit), asked))
     places = places_of(index, wanted, mask_of(texts, "text_key"), False)
     on = places.join(wanted, "term").join(texts, ["text_key", "unit"])
     return on.select("text_key", "unit", (F.col("place") - F.col("at")).alias("diagonal"), hit)
@@ -206,7 +201,7 @@ def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame
 def exact(words: DataFrame, index: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
     """(text_key, unit, diagonal, span, starts): bit s of ``starts``: window s of the chunk occurs in the text at place diagonal + s."""
     likely = agreeing(hits, asked, "diagonal")
-    wanted = stage(likely.join(words, "unit").select(
+    wanted = filed(likely.join(words, "unit").select(
         "text_key", "term", (F.col("diagonal") + F.col("at")).alias("place"), "unit", "diagonal", "windows", "span", "at"
     ))
     spots = mask_of(wanted.select(spot(F.col("text_key"), F.col("place")).alias("spot")), "spot")
@@ -255,18 +250,18 @@ def hit_words(found: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity match) of every document."""
-    words = stage(item_words(items))
+    words = filed(item_words(items))
     index = build(docs, words.select("term").distinct())
-    asked = stage(seeds(words, index))
-    hits = stage(seed_hits(words, index, asked))
-    found = stage(exact(words, index, hits, asked))
+    asked = filed(seeds(words, index))
+    hits = filed(seed_hits(words, index, asked))
+    found = filed(exact(words, index, hits, asked))
     ids = words.select("unit", "item_id").distinct()
     named = found.select("text_key", "unit").distinct().join(ids, "unit").select("text_key", "item_id").distinct()
     lists = named.groupBy("text_key").agg(
         F.count("item_id").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids")
     )
     close = near(hits, asked).join(ids, "unit").groupBy("text_key").agg(F.count_distinct("item_id").alias("n_near"))
-    result = stage(hit_words(found).join(lists, "text_key", "full").join(close, "text_key", "full"))
+    result = filed(hit_words(found).join(lists, "text_key", "full").join(close, "text_key", "full"))
     joined = F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",")
     zero = F.lit(0).cast("long")
     return counted(docs).join(result, "text_key", "left").select(
