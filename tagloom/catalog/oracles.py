@@ -200,6 +200,62 @@ _CLUSTERED = ",\n".join([
 _CLUSTER_TAGS = """cluster_tags AS (SELECT DISTINCT p.cluster_id, qt.tag
   FROM placed p JOIN qt ON qt.q_id = p.q_id)"""
 
+
+
+def _draw(round_: int) -> str:
+    return f"(('0x' || substring(md5('1:{round_}:' || q_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def _distances(docs: str, candidates: str, out: str) -> str:
+    """Squared distances of every document and candidate document."""
+    return f"""{out} AS MATERIALIZED (
+  SELECT a.q_id, c.cluster_id, greatest(a.sq + b.sq - 2 * coalesce(p.dot, 0), 0) AS d
+  FROM (SELECT q_id, coalesce(sq, 0) AS sq FROM {docs} LEFT JOIN sq USING (q_id)) a CROSS JOIN {candidates} c
+  JOIN sq b ON b.q_id = c.q_id
+  LEFT JOIN (SELECT x.q_id, k.cluster_id, sum(x.x * y.x) AS dot FROM gfeat x JOIN gfeat y ON y.term = x.term
+             JOIN {candidates} k ON k.q_id = y.q_id GROUP BY x.q_id, k.cluster_id) p
+    ON p.q_id = a.q_id AND p.cluster_id = c.cluster_id)"""
+
+
+def _kmeans(k: int, rounds: int = 2, steps: int = 4) -> str:
+    """k-means|| with two rounds, the weighted reduction to k, and ``steps`` iterations; ends in the table final(cluster_id, q_id)."""
+    parts = [
+        "sq AS MATERIALIZED (SELECT q_id, sum(x * x) AS sq FROM gfeat GROUP BY q_id)",
+        f"cand0 AS MATERIALIZED (SELECT 0 AS cluster_id, q_id FROM sq ORDER BY {_draw(0)}, q_id LIMIT 1)",
+    ]
+    for r in range(1, rounds + 1):
+        parts += [
+            _distances("(SELECT q_id FROM sq)", f"cand{r - 1}", f"far{r}"),
+            f"near{r} AS MATERIALIZED (SELECT q_id, min(d) AS d FROM far{r} GROUP BY q_id)",
+            f"""cand{r} AS MATERIALIZED (SELECT * FROM cand{r - 1} UNION ALL
+  SELECT row_number() OVER (ORDER BY {_draw(r)}, q_id) - 1 + (SELECT count(*) FROM cand{r - 1}), q_id FROM near{r}
+  WHERE {_draw(r)} * (SELECT sum(d) FROM near{r}) < {2 * k}.0 * d)""",
+        ]
+    parts += [
+        _distances("members", f"cand{rounds}", "spread"),
+        """weight AS MATERIALIZED (SELECT cluster_id, count(*) AS w FROM (SELECT cluster_id,
+  row_number() OVER (PARTITION BY q_id ORDER BY round(d, 6), cluster_id) AS r FROM spread) WHERE r = 1 GROUP BY cluster_id)""",
+        f"""gap AS MATERIALIZED (SELECT c.cluster_id AS a, s.cluster_id AS b, round(s.d, 6) AS d
+  FROM cand{rounds} c JOIN spread s ON s.q_id = c.q_id)""",
+        "pick1 AS MATERIALIZED (SELECT 0 AS no, cluster_id FROM weight ORDER BY w DESC, cluster_id LIMIT 1)",
+    ]
+    for j in range(2, k + 1):
+        parts.append(f"""pick{j} AS MATERIALIZED (SELECT * FROM pick{j - 1} UNION ALL SELECT {j - 1}, cluster_id FROM (
+  SELECT w.cluster_id, any_value(w.w) * min(g.d) AS gain FROM weight w JOIN gap g ON g.a = w.cluster_id
+  JOIN pick{j - 1} p ON p.cluster_id = g.b GROUP BY w.cluster_id HAVING gain > 0 ORDER BY gain DESC, w.cluster_id LIMIT 1))""")
+    parts.append(f"""means0 AS MATERIALIZED (SELECT p.no AS cluster_id, f.term, f.x AS v
+  FROM pick{k} p JOIN cand{rounds} c ON c.cluster_id = p.cluster_id JOIN gfeat f ON f.q_id = c.q_id)""")
+    for i in range(steps):
+        parts += [
+            _nearest("gfeat", "members", f"means{i}", f"lloyd{i}"),
+            _means("gfeat", f"lloyd{i}", f"moved{i}"),
+            f"""means{i + 1} AS MATERIALIZED (SELECT * FROM moved{i} UNION ALL
+  SELECT * FROM means{i} WHERE cluster_id NOT IN (SELECT cluster_id FROM lloyd{i}))""",
+        ]
+    parts.append(_nearest("gfeat", "members", f"means{steps}", "final"))
+    return ",\n".join(parts)
+
+
 _SCORES = """
 hits AS (SELECT t.q_id, i.tag, sum(t.tf * w.w * i.idf) / sum(t.tf) AS score
   FROM plain t JOIN heldout h ON h.q_id = t.q_id
@@ -313,6 +369,8 @@ ORACLES = {
     "embedding_lloyd_step": _EMBED + ",\n" + _means("rows", "placed", "moved")
     + "SELECT cluster_id, term AS dim, round(v, 6) AS v FROM moved",
     "kmeans_assign": _with(_CLUSTERED) + "SELECT q_id, cluster_id FROM placed",
+    "kmeans_fit": _with(_GLOBAL, _kmeans(6)) + "SELECT cluster_id, count(*) AS n_docs FROM final GROUP BY cluster_id",
+    "kmeans_start": _with(_GLOBAL, _kmeans(6, steps=0)) + "SELECT cluster_id, term, round(v, 6) AS v FROM means0",
     "lloyd_step": _with(_CLUSTERED, _means("gfeat", "placed", "moved"),
         "empty AS (SELECT * FROM cent WHERE cluster_id NOT IN (SELECT cluster_id FROM placed))")
     + """SELECT cluster_id, term, round(v, 6) AS v FROM moved

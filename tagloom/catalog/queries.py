@@ -309,12 +309,19 @@ def embedding_lloyd_step(spark, d):
 
 
 def kmeans_fit(spark, d):
-    """Sizes of the clusters a fit finds in the texts (the start is random)."""
+    """Sizes of the clusters after four iterations of a fit to the texts."""
     w = _corpus(spark, d)
-    centroids = clusters.fit(w.features, w.members, k=6)
+    centroids = clusters.fit(w.features, w.members, k=6, max_iter=4, runs=1)
     return clusters.cluster_sizes(clusters.assign(w.features, w.members, centroids))
 
 
+def kmeans_start(spark, d):
+    """The first centroids that oversampling finds."""
+    w = _corpus(spark, d)
+    packed = clusters.pack(w.features).persist()
+    return clusters.seeds(packed, w.members, 6, 1).select("cluster_id", "term", r6("v").alias("v"))
+
+
 def _text_centroids(spark, d, corpus: features.Weighted) -> DataFrame:
     """First centroids of the texts: the mean vector of each popular tag's questions."""
     pos = positives(spark, d)
@@ -381,6 +388,6 @@ QUERIES = {
         tokens_plain, tokens_stem, term_counts_plain, postings, vocabulary, doc_frequency, idf,
         tfidf_per_tag, tfidf_global, svm_weights, svm_margins, recommend_top10, split_80_20,
         accuracy_report, embedding_assign, embedding_lloyd_step, kmeans_assign, lloyd_step,
-        cluster_members, cluster_tag_set, recommend_routed_top5, kmeans_fit, stream_recommend,
+        cluster_members, cluster_tag_set, recommend_routed_top5, kmeans_start, kmeans_fit, stream_recommend,
     )
 }

@@ -1,24 +1,31 @@
 """ML-7..9, ML-12: k-means over long-form vectors (tag, shard, q_id, term, x).
 
-``term`` may be any type: a word, or the index of a dense vector.
+``term`` may be any type: a word, or the index of a dense vector. Documents stay in their shards: a round sends each shard the
+centroid rows of the terms it holds, multiplies there, and brings back per-shard sums. The start is k-means||: rounds of
+distance-weighted oversampling, drawn by hashes of the ids, then a weighted reduction to k.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tagloom.operators.sharding import default_shards, hash_shard, join_in_shards
+from tagloom.operators.sharding import default_shards, hash_shard
 from tagloom.session import stage
 
 MAX_ITER = 1000
 TOL = 1e-6
 RUNS = 3
-MAX_DENSE = 1 << 24
+INIT_ROUNDS, OVERSAMPLING = 2, 2
+#: Numbers of a product that a task holds at a time.
+CELLS = 4_000_000
+MAX_BROADCAST_IDS = 100_000
 
 
 def dense_rows(vectors: DataFrame, id_col: str, vector_col: str, shards: int | None = None) -> DataFrame:
@@ -45,47 +52,149 @@ def mean_vectors(features: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def assign(features: DataFrame, docs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """ML-8, ML-9: nearest centroid per document, (q_id, cluster_id); ties take the lower id.
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """List lengths and concatenated items."""
+    whole = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    return whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten()
 
-    |x - c|^2 differs from |c|^2 - 2 x.c by |x|^2, the same for every centroid. Clusters
-    sharing no term with a document have x.c = 0; the one with the smallest norm stands for
-    them. ``docs`` names all documents, so those without any term are assigned too.
-    """
+
+def pack(features: DataFrame) -> DataFrame:
+    """One row (tag, shard, q_id, terms, xs) per document, where its feature rows lie."""
+    place = [c for c in ("tag", "shard") if c in features.columns]
+    return features.groupBy(*place, "q_id").agg(F.collect_list("term").alias("terms"), F.collect_list("x").alias("xs"))
+
+
+def _shipped(packed: DataFrame, centroids: DataFrame) -> DataFrame:
+    """What each shard needs of the centroids: (tag, shard, term, ids, vs), and the norms under a null term."""
+    place = [c for c in ("tag", "shard") if c in packed.columns]
+    need = packed.select(*place, F.explode("terms").alias("term")).distinct()
+    rows = centroids.groupBy("term").agg(F.collect_list("cluster_id").alias("ids"), F.collect_list("v").alias("vs"))
     norms = centroids.groupBy("cluster_id").agg(F.sum(F.col("v") * F.col("v")).alias("norm"))
-    ordered = norms.select(  # k rows
-        "cluster_id", "norm",
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("norm", "cluster_id")).alias("no"),
-    )
-    values = centroids.join(ordered, "cluster_id").select("term", "cluster_id", "v", "norm", "no")
-    dots = (
-        join_in_shards(features.select("shard", "q_id", "term", "x"), values, ["shard"], ["term"])
-        .groupBy("shard", "q_id", "cluster_id", "norm", "no")
-        .agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    all_norms = norms.agg(F.struct(F.collect_list("cluster_id").alias("ids"), F.collect_list("norm").alias("vs"))).scalar()
+    no_term = F.lit(None).cast(centroids.schema["term"].dataType).alias("term")
+    shards = packed.select(*place).distinct().select(*place, no_term, all_norms.alias("_n"))
+    both = need.join(rows, "term").select(*place, "term", "ids", "vs").unionByName(
+        shards.select(*place, "term", "_n.ids", "_n.vs")
     )
-    best = dots.groupBy("shard", "q_id").agg(
-        F.min(F.struct((F.col("norm") - 2 * F.col("dot")).alias("d"), "cluster_id")).alias("near"),
-        F.collect_list("no").alias("seen"),  # at most k entries
+    return both.select(*[F.col(c).alias(c) for c in both.columns])  # columns apart from those of ``packed``
+
+
+def _nearest(docs: pa.Table, cents: pa.Table, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Cluster and squared distance of every row of ``docs``; row, term and x of every entry. Ties take the lower cluster."""
+    bare = pc.is_null(cents["term"])
+    _, ids = _flat(cents.filter(bare)["ids"])
+    _, norms = _flat(cents.filter(bare)["vs"])
+    order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+    ids, norms = ids.to_numpy(zero_copy_only=False)[order], norms.to_numpy(zero_copy_only=False)[order]
+    known = cents.filter(pc.invert(bare))
+    held, of = _flat(known["ids"])
+    column = np.searchsorted(ids, of.to_numpy(zero_copy_only=False))
+    line = np.repeat(np.arange(len(held)), held)
+    value = _flat(known["vs"])[1].to_numpy(zero_copy_only=False)
+    size, terms = _flat(docs["terms"])
+    x = _flat(docs["xs"])[1].to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(docs.num_rows), size)
+    # terms that no centroid holds meet an empty line at the end
+    at = pc.index_in(terms, value_set=known["term"].combine_chunks()).fill_null(len(held)).to_numpy(zero_copy_only=False)
+    best, index = np.full(docs.num_rows, np.inf), np.zeros(docs.num_rows, np.int64)
+    square = np.bincount(row, x * x, docs.num_rows)
+    first = np.concatenate([[0], np.cumsum(size)])
+    wide = max(1, CELLS // (len(held) + 1))
+    for low in range(0, len(ids), wide):
+        high = min(low + wide, len(ids))
+        mine = (column >= low) & (column < high)
+        block = np.zeros((len(held) + 1, high - low))
+        block[line[mine], column[mine] - low] = value[mine]
+        step = max(1, CELLS // (high - low))
+        start = 0
+        while start < docs.num_rows:
+            stop = max(start + 1, int(np.searchsorted(first, first[start] + step, side="right")) - 1)
+            part = slice(first[start], first[stop])
+            products = np.zeros((stop - start, high - low))
+            if first[stop] > first[start]:
+                some = np.flatnonzero(size[start:stop])
+                products[some] = np.add.reduceat(x[part, None] * block[at[part]], first[start:stop][some] - first[start], axis=0)
+            d = np.maximum(norms[low:high] - 2 * products + square[start:stop, None], 0)
+            d = d if digits is None else np.round(d, digits)
+            least = d.argmin(axis=1)
+            d = d[np.arange(stop - start), least]
+            better = d < best[start:stop]
+            best[start:stop][better], index[start:stop][better] = d[better], least[better] + low
+            start = stop
+    return ids[index], best, row, terms, x
+
+
+def nearest(packed: DataFrame, docs: DataFrame, centroids: DataFrame, digits: int | None = None) -> DataFrame:
+    """(q_id, cluster_id, d): the nearest centroid and its squared distance, of every document; ties take the lower id.
+
+    ``docs`` names all documents, so those without any term are placed too: at the centroid of least norm.
+    ``digits``: decimals to which distances are compared.
+    """
+    place = [c for c in ("tag", "shard") if c in packed.columns]
+    kind = {c: packed.schema[c].dataType.simpleString() for c in ("q_id",)} | {"cluster_id": centroids.schema["cluster_id"].dataType.simpleString()}
+
+    def product(rows: pa.Table, cents: pa.Table) -> pa.Table:
+        schema = pa.schema([("q_id", rows.schema.field("q_id").type), ("cluster_id", cents.schema.field("ids").type.value_type), ("d", pa.float64())])
+        if not rows.num_rows:
+            return schema.empty_table()
+        cluster, d, *_ = _nearest(rows, cents, digits)
+        return pa.Table.from_arrays([rows["q_id"], pa.array(cluster, schema.field(1).type), pa.array(d)], schema=schema)
+
+    placed = packed.groupBy(*place).cogroup(_shipped(packed, centroids).groupBy(*place)).applyInArrow(
+        product, f"q_id {kind['q_id']}, cluster_id {kind['cluster_id']}, d double"
     )
-    k = ordered.agg(F.count(F.lit(1)).cast("int")).scalar()
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), k), F.coalesce("seen", F.array().cast("array<int>"))))
-    rest = ordered.select(
-        F.col("no").alias("_free"),
-        F.struct(F.col("norm").alias("d"), "cluster_id").alias("far"),
+    least = _least_norm(centroids, digits)
+    return docs.select("q_id").join(placed, "q_id", "left").select(
+        "q_id", F.coalesce("cluster_id", least["cluster_id"]).alias("cluster_id"), F.coalesce("d", least["norm"]).alias("d")
     )
-    placed = docs.select("q_id").join(best.drop("shard"), "q_id", "left").withColumn("_free", free)
-    # `least` skips nulls: a document may have no scored cluster, or no unscored one
-    return placed.join(rest, "_free", "left").select(
-        "q_id", F.least("near", "far")["cluster_id"].alias("cluster_id")
+
+
+def _least_norm(centroids: DataFrame, digits: int | None = None) -> Column:
+    norm = F.sum(F.col("v") * F.col("v"))
+    norms = centroids.groupBy("cluster_id").agg((norm if digits is None else F.round(norm, digits)).alias("norm"))
+    return norms.agg(F.min(F.struct("norm", "cluster_id"))).scalar()
+
+
+def assign(features: DataFrame, docs: DataFrame, centroids: DataFrame) -> DataFrame:
+    """ML-8, ML-9: nearest centroid per document, (q_id, cluster_id)."""
+    return nearest(pack(features), docs, centroids).select("q_id", "cluster_id")
+
+
+def _step(packed: DataFrame, bare: DataFrame, centroids: DataFrame) -> DataFrame:
+    """One iteration; ``bare``: ids of the documents without any term."""
+    place = [c for c in ("tag", "shard") if c in packed.columns]
+    term, cluster = centroids.schema["term"].dataType.simpleString(), centroids.schema["cluster_id"].dataType.simpleString()
+
+    def sums(rows: pa.Table, cents: pa.Table) -> pa.Table:
+        schema = pa.schema([("cluster_id", cents.schema.field("ids").type.value_type), ("term", cents.schema.field("term").type), ("s", pa.float64())])
+        if not rows.num_rows:
+            return schema.empty_table()
+        near, _, row, terms, x = _nearest(rows, cents, None)
+        coded = terms.dictionary_encode()
+        own, which = np.unique(near, return_inverse=True)
+        cell = which[row] * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        cells, back = np.unique(cell, return_inverse=True)
+        s = np.bincount(back, x, len(cells))
+        cluster = np.concatenate([own[cells // max(1, len(coded.dictionary))], own])
+        named = pa.concat_arrays([coded.dictionary.take(pa.array(cells % max(1, len(coded.dictionary)))), pa.nulls(len(own), coded.dictionary.type)])
+        # a null term stands for the number of documents
+        return pa.Table.from_arrays([pa.array(cluster, schema.field(0).type), named, pa.array(np.concatenate([s, np.bincount(which)]))], schema=schema)
+
+    partial = packed.groupBy(*place).cogroup(_shipped(packed, centroids).groupBy(*place)).applyInArrow(
+        sums, f"cluster_id {cluster}, term {term}, s double"
     )
+    rest = bare.select(_least_norm(centroids)["cluster_id"].alias("cluster_id"), F.lit(None).cast(term).alias("term"), F.lit(1.0).alias("s"))
+    total = stage(partial.unionByName(rest).groupBy("cluster_id", "term").agg(F.sum("s").alias("s")))
+    sizes = total.where("term IS NULL").select("cluster_id", F.col("s").alias("n"))
+    moved = total.where("term IS NOT NULL").join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("v"))
+    empty = centroids.join(sizes, "cluster_id", "left_anti")
+    return moved.unionByName(empty.select("cluster_id", "term", "v"))
 
 
 def lloyd_step(features: DataFrame, docs: DataFrame, centroids: DataFrame) -> DataFrame:
     """One iteration: assign, then the mean of each cluster. Empty clusters keep their centroid."""
-    placed = assign(features, docs, centroids)
-    moved = mean_vectors(features, placed)
-    empty = centroids.join(placed.select("cluster_id").distinct(), "cluster_id", "left_anti")
-    return moved.unionByName(empty.select("cluster_id", "term", "v"))
+    packed = pack(features)
+    return _step(packed, docs.select("q_id").join(packed.select("q_id"), "q_id", "left_anti"), centroids)
 
 
 def shift(before: DataFrame, after: DataFrame) -> float:
@@ -99,31 +208,72 @@ def shift(before: DataFrame, after: DataFrame) -> float:
     )
 
 
-def cost(features: DataFrame, placed: DataFrame, centroids: DataFrame) -> float:
-    """Sum of squared distances: sum |x|^2 - 2 sum of s.c + sum of n |c|^2 over clusters with sums s; the centroids
-    need not be the means of ``placed``."""
-    x2 = features.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
-    norms = centroids.groupBy("cluster_id").agg(F.sum(F.col("v") * F.col("v")).alias("norm"))
-    sizes = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    own = norms.join(sizes, "cluster_id").agg(F.sum(F.col("n") * F.col("norm"))).first()[0] or 0.0
-    means = mean_vectors(features, placed).select("cluster_id", "term", F.col("v").alias("m"))
-    cross = (
-        means.join(centroids, ["cluster_id", "term"]).join(sizes, "cluster_id")
-        .agg(F.sum(F.col("n") * F.col("m") * F.col("v"))).first()[0] or 0.0
-    )
-    return x2 - 2 * cross + own
+def drawn(seed: int, round_: int) -> Column:
+    """A number in [0, 1) for every q_id: the first eight hex digits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{round_}:"), F.col("q_id").cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def seeds(features: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """``k`` documents in the order of a seeded hash become the first centroids. Only the map-side
-    top k of each task is sorted together."""
-    order = F.xxhash64(F.lit(seed), F.col("q_id"))
-    first = docs.select("q_id").join(features.select("q_id").distinct(), "q_id", "left_semi")
-    chosen = first.orderBy(order, "q_id").limit(k)
-    numbered = chosen.withColumn(
-        "cluster_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "q_id")) - 1
-    )
-    return mean_vectors(features, numbered.select("cluster_id", "q_id"))
+def seeds(packed: DataFrame, docs: DataFrame, k: int, seed: int, rounds: int = INIT_ROUNDS) -> DataFrame:
+    """ML-7, the start: centroids of k documents found by k-means||.
+
+    The first candidate is the document of least draw. In each round a document at squared distance d from the candidates so far
+    becomes one if its draw is below ``OVERSAMPLING`` * k * d / (sum of d): about that many. The candidates, weighted by the
+    documents nearest to them, are reduced to k: the heaviest first, then always the one of largest weight times squared distance to
+    those chosen; equal ones by id. Fewer distinct documents give fewer centroids.
+    """
+    ids = packed.select("q_id")
+    first = ids.orderBy(drawn(seed, 0), "q_id").limit(1)
+    chosen, known = stage(first.select(F.lit(0).alias("cluster_id"), "q_id")), 1
+
+    def vectors() -> DataFrame:
+        # counted on the driver: no more than this is ever broadcast
+        small = F.broadcast(chosen) if known <= MAX_BROADCAST_IDS else chosen
+        rows = packed.select("q_id", F.explode(F.arrays_zip("terms", "xs")).alias("e")).join(small, "q_id")
+        return rows.select("cluster_id", F.col("e.terms").alias("term"), F.col("e.xs").alias("v"))
+
+    for r in range(1, rounds + 1):
+        far = stage(nearest(packed, ids, stage(vectors())))
+        total = far.agg(F.sum("d")).first()[0] or 0.0
+        if total == 0:
+            break
+        u = drawn(seed, r)
+        new = far.where(u * F.lit(total) < F.lit(float(OVERSAMPLING * k)) * F.col("d"))
+        # about OVERSAMPLING * k rows
+        number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(u, "q_id")) + F.lit(known - 1)
+        chosen = stage(chosen.unionByName(new.select(number.alias("cluster_id"), "q_id")))
+        known = chosen.count()
+    candidates = stage(vectors())
+    weight = nearest(packed, docs, candidates, digits=6).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("w"))
+    rows = candidates.join(weight, "cluster_id", "left").select("cluster_id", "term", "v", F.coalesce("w", F.lit(0)).alias("w")).withColumn("all", F.lit(0))
+    term = rows.schema["term"].dataType.simpleString()
+
+    def reduce(table: pa.Table) -> pa.Table:
+        old, which = np.unique(table["cluster_id"].to_numpy(), return_inverse=True)
+        coded = table["term"].combine_chunks().dictionary_encode()
+        coded = coded.indices.to_numpy(zero_copy_only=False)
+        v = table["v"].to_numpy()
+        w = np.zeros(len(old))
+        w[which] = table["w"].to_numpy()
+        square = np.bincount(which, v * v)
+        least, taken = np.full(len(old), np.inf), []
+        gain = w
+        while len(taken) < k and gain.max() > 0:
+            taken.append(int(gain.argmax()))
+            one = np.zeros(coded.max() + 1)
+            mine = which == taken[-1]
+            one[coded[mine]] = v[mine]
+            d = np.maximum(square + square[taken[-1]] - 2 * np.bincount(which, v * one[coded]), 0)
+            least = np.minimum(least, np.round(d, 6))
+            gain = w * least
+        new = np.full(len(old), -1)
+        new[taken] = np.arange(len(taken))
+        keep = pa.array(new[which] >= 0)
+        out = table.select(["term", "v"]).filter(keep)
+        return out.add_column(0, "cluster_id", pa.array(new[which][new[which] >= 0].astype(np.int32)))
+
+    # the candidates, whose number k bounds, in one task
+    return rows.groupBy("all").applyInArrow(reduce, f"cluster_id int, term {term}, v double")
 
 
 def to_vectors(features: DataFrame, docs: DataFrame, numbers: DataFrame, size: int) -> DataFrame:
@@ -151,69 +301,29 @@ def fit(
     tol: float = TOL,
     runs: int = RUNS,
     seed: int = 1,
-    max_dense: int = MAX_DENSE,
 ) -> DataFrame:
     """ML-7: k-means, the cheapest of ``runs`` starts, as centroids (cluster_id, term, v).
 
-    ``pyspark.ml``'s k-means keeps k dense centroids on the driver and in every task. It is used
-    while they are small (k x terms <= ``max_dense`` numbers); beyond, ``fit_table`` does
-    the same iterations with centroids as a table.
-    """
-    numbers = features.select("term").distinct()
-    size = numbers.count()
-    if size == 0 or k * size > max_dense:
-        return fit_table(features, docs, k, max_iter, tol, runs, seed)
-    spark = features.sparkSession
-    in_order = Window.partitionBy(F.lit(0)).orderBy("term")  # at most max_dense / k rows
-    numbers = stage(
-        numbers.select("term", (F.row_number().over(in_order) - 1).cast("int").alias("term_id"))
-    )
-    vectors = to_vectors(features, docs, numbers, size).persist()
-    best = None
-    for run in range(runs):
-        model = KMeans(
-            k=k, maxIter=max_iter, tol=tol, initMode="k-means||", seed=seed + run
-        ).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    vectors.unpersist()
-    rows = [
-        (c, int(i), float(vector[i]))
-        for c, vector in enumerate(best.clusterCenters())
-        for i in vector.nonzero()[0]
-    ]
-    table = spark.createDataFrame(rows, "cluster_id int, term_id int, v double")
-    return stage(table.join(numbers, "term_id").select("cluster_id", "term", "v"))
-
-
-def fit_table(
-    features: DataFrame,
-    docs: DataFrame,
-    k: int,
-    max_iter: int = MAX_ITER,
-    tol: float = TOL,
-    runs: int = RUNS,
-    seed: int = 1,
-) -> DataFrame:
-    """k-means by Lloyd iterations on sparse centroids.
-
-    Neither the vocabulary nor a dense centroid must fit the driver: a round sends centroid rows
-    to the shards and brings per-cluster sums back.
+    Neither the vocabulary nor a dense centroid must fit the driver, and the documents are placed once for all rounds.
     """
-    features = features.persist()
+    packed = pack(features).persist()
+    bare = stage(docs.select("q_id").distinct().join(packed.select("q_id"), "q_id", "left_anti"))
     best, best_cost = None, float("inf")
     for run in range(runs):
-        centroids = stage(seeds(features, docs, k, seed + run))
+        centroids = stage(seeds(packed, docs, k, seed + run))
         for _ in range(max_iter):
-            moved = stage(lloyd_step(features, docs, centroids))
+            moved = stage(_step(packed, bare, centroids))
             still = shift(centroids, moved) <= tol * tol
             centroids = moved
             if still:
                 break
-        total = cost(features, assign(features, docs, centroids), centroids)
+        if runs == 1:
+            best = centroids
+            break
+        total = nearest(packed, docs, centroids).agg(F.sum("d")).first()[0] or 0.0
         if total < best_cost:
             best, best_cost = centroids, total
-    features.unpersist()
+    packed.unpersist()
     return best
 
 

@@ -12,7 +12,7 @@ from tagloom.catalog.queries import QUERIES
 
 SF = os.environ.get("TAGLOOM_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
-SLOW = {"kmeans_fit", "stream_recommend", "svm_margins", "lloyd_step", "cluster_members",
+SLOW = {"stream_recommend", "svm_margins", "lloyd_step", "cluster_members",
         "cluster_tag_set", "training_rows_with_label_text", "idf"}  # same code as their neighbours
 
 
@@ -32,8 +32,7 @@ def plain(row):
 
 def test_every_query_has_a_counterpart():
     assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_fit"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))

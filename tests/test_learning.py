@@ -1,4 +1,6 @@
 import random
+from collections import Counter, defaultdict
+from hashlib import md5
 
 import pytest
 from conftest import rows
@@ -171,19 +173,73 @@ def test_assign_and_step_against_brute_force(spark, seed):
     assert step == moved
 
 
-@pytest.mark.parametrize("max_dense", [1 << 20, 0])
-def test_fit_finds_separate_groups(spark, max_dense):
-    """Both forms of the fit; with ``max_dense`` 0 the centroids stay a table."""
+def test_fit_finds_separate_groups(spark):
     data = [(0, q, t, 1.0 + q / 1000) for q in range(12) for t in (("a", "b") if q % 2 else ("y", "z"))]
     feats = spark.createDataFrame(data, "shard int, q_id long, term string, x double")
     ids = feats.select("q_id").distinct()
-    cents = clusters.fit(feats, ids, 2, max_iter=5, runs=3, max_dense=max_dense)
+    cents = clusters.fit(feats, ids, 2, max_iter=5, runs=3)
     placed = {r.q_id: r.cluster_id for r in clusters.assign(feats, ids, cents).collect()}
     assert len({placed[q] for q in range(0, 12, 2)}) == 1
     assert len({placed[q] for q in range(1, 12, 2)}) == 1
     assert placed[0] != placed[1]
 
 
+def test_start_against_brute_force(spark):
+    docs, feats, ids, _, _ = sparse_points(spark, 5, n=120)
+    full = {q: v for q, v in docs.items() if v}
+    k, seed = 4, 7
+
+    def draw(q, r):
+        return int(md5(f"{seed}:{r}:{q}".encode()).hexdigest()[:8], 16) / 2**32
+
+    def dist(a, b):
+        return sum((a.get(t, 0) - b.get(t, 0)) ** 2 for t in {*a, *b})
+
+    found = [min(full, key=lambda q: (draw(q, 0), q))]
+    for r in (1, 2):
+        far = {q: min(dist(v, docs[c]) for c in found) for q, v in full.items()}
+        total = sum(far.values())
+        new = sorted((draw(q, r), q) for q, d in far.items() if draw(q, r) * total < 2 * k * d and d > 1e-9)
+        found += [q for _, q in new]
+    assert len(found) > k
+    weight = Counter(min(range(len(found)), key=lambda c: (round(dist(v, docs[found[c]]), 6), c)) for v in docs.values())
+    taken = [max(range(len(found)), key=lambda c: (weight[c], -c))]
+    while len(taken) < k:
+        gain = [weight[c] * min(round(dist(docs[found[c]], docs[found[t]]), 6) for t in taken) for c in range(len(found))]
+        taken.append(max(range(len(found)), key=lambda c: (gain[c], -c)))
+    got = defaultdict(dict)
+    for r in clusters.seeds(clusters.pack(feats), ids, k, seed).collect():
+        got[r.cluster_id][r.term] = r.v
+    assert [got[c] for c in range(k)] == [docs[found[t]] for t in taken]
+
+
+def test_start_with_few_distinct_documents(spark):
+    feats = spark.createDataFrame([(0, q, "a", 1.0) for q in range(9)], "shard int, q_id long, term string, x double")
+    ids = spark.range(12).select(F.col("id").alias("q_id"))
+    cents = clusters.fit(feats, ids, 5, max_iter=3)
+    assert rows(cents.select("term", "v")) == [("a", pytest.approx(0.75))]
+    assert clusters.fit(feats.where("false"), ids, 3, max_iter=2).count() == 0
+
+
+def test_rounds_leave_the_features_where_they_lie(spark):
+    """Above the placed, cached documents a round exchanges centroid rows, sums and ids only."""
+    _, feats, ids, _, table = sparse_points(spark, 2, n=60)
+    packed = clusters.pack(feats.repartition(4, "shard")).persist()
+    packed.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (clusters.nearest(packed, ids, table), packed.groupBy("shard").cogroup(
+                clusters._shipped(packed, table).groupBy("shard")).applyInArrow(lambda a, b: a.select(["q_id"]), "q_id long")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
+            side = plan[plan.index("FlatMapCoGroupsInArrow"):]
+            first = side[: side.index("InMemoryTableScan")]
+            assert "Exchange" not in first, first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        packed.unpersist()
+
+
 def test_vectors_hold_every_document(spark):
     docs, feats, ids, _, _ = sparse_points(spark, 3, n=10)
     numbers = spark.createDataFrame([(f"t{i}", i) for i in range(10)], "term string, term_id int")
