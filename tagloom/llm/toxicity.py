@@ -10,7 +10,7 @@ Training sees at most ``TRAIN_ROWS`` labelled rows, those first by a hash of the
 the fit is allowed), in one task. Every whole text is scored, map-side only.
 
 Edge cases: null and empty texts have no terms and get the score of the bias; without labelled rows, or with one class only,
-every score is the share of the class (0 without rows); several labels of one id count as rows of their own; repeated rows get equal scores;
+every score is the share of the class (0 without rows); different labels of one id count as rows of their own, equal ones once; repeated rows get equal scores;
 an empty table gives none; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import small, WordHashes
+from tagloom.llm.common import WordHashes, filed, small
 
 TRAIN_ROWS = 30_000
 BITS = 20
@@ -109,11 +109,12 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> Machine:
     return Machine(kept, bias, w, v)
 
 
-def train(labelled: DataFrame) -> Machine:
-    """From ``labelled(doc_id, text, toxic)``."""
-    narrow = labelled.select("doc_id", "toxic", F.xxhash64("doc_id").alias("_h")).distinct()
-    picked = narrow.orderBy("_h", "doc_id", "toxic").limit(TRAIN_ROWS).select("doc_id", "toxic")
-    sample = labelled.join(picked, ["doc_id", "toxic"], "left_semi").select("toxic", "text")
+def train(docs: DataFrame, known: DataFrame) -> Machine:
+    """From ``docs(doc_id, text)`` with ``known(doc_id, toxic)``. The ids are chosen on narrow columns and kept as files, whose size
+    ``TRAIN_ROWS`` bounds, so that the texts are neither shuffled nor read by a join of all labels."""
+    narrow = docs.select("doc_id").join(known, "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("_h")).distinct()
+    picked = filed(narrow.orderBy("_h", "doc_id", "toxic").limit(TRAIN_ROWS).select("doc_id", "toxic"))
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -154,8 +155,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """Learns from labelled rows outside ``held_out`` (a condition on doc_id) and scores all rows."""
     known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(~F.coalesce(held_out, F.lit(True))).select("doc_id", "text").join(known, "doc_id")
-    return score(docs, train(rows)).withColumn("held_out", F.coalesce(held_out, F.lit(True)))
+    seen = docs.where(~F.coalesce(held_out, F.lit(True))).select("doc_id", "text")
+    return score(docs, train(seen, known)).withColumn("held_out", F.coalesce(held_out, F.lit(True)))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
