@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,12 @@ def filed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def aside(docs: DataFrame, own: Sequence[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator`` on ``docs`` with all columns but ``own`` under names of no meaning, and the old names again on what it returns."""
+    plain = docs.toDF(*[c if c in own else f"other_{i}" for i, c in enumerate(docs.columns)])
+    return operator(plain).toDF(*docs.columns)
+
+
 def part_hash(*columns: str, salt: int = 0) -> Column:
     return F.xxhash64(*columns, F.lit(salt))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import n_words
+from tagloom.llm.common import aside, n_words
 from tagloom.operators.ranking import row_number_in_blocks
 from tagloom.session import stage
 
@@ -161,6 +161,10 @@ def repeat(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id share the mean of their takings.
     """
+    return aside(docs, ("doc_id", "text", "source"), _repeat)
+
+
+def _repeat(docs: DataFrame) -> DataFrame:
     times = F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
     copies = mix(docs).groupBy(F.struct("doc_id").alias("_id")).agg(times.alias("_times")).where("_times > 0")
     return (

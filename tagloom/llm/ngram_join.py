@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.buckets import grouped, shared
-from tagloom.llm.common import components, in_mask, mask_of, mix, small, word_hashes
+from tagloom.llm.common import aside, components, in_mask, mask_of, mix, small, word_hashes
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
@@ -263,6 +263,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand first in their component. Rows that share a doc_id are one document: the one whose
     text hashes least stays."""
+    return aside(docs, ("doc_id", "text"), lambda rows: _dedup(rows, size, percent))
+
+
+def _dedup(docs: DataFrame, size: int, percent: int) -> DataFrame:
     found = stage(join(docs, size, percent))
     first = found.where("set_id IS NULL OR doc_id <=> component_id")
     stay = docs.withColumn("_id", F.struct("doc_id")).join(first.select(F.struct("doc_id").alias("_id")).distinct(), "_id", "left_semi")

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import words
+from tagloom.llm.common import aside, words
 from tagloom.session import stage
 
 SUPPORT = 0.75
@@ -229,6 +229,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` keeps. Rows that share a doc_id are kept if all of them are."""
+    return aside(docs, ("doc_id", "text", "lang", "source"), _keep)
+
+
+def _keep(docs: DataFrame) -> DataFrame:
     kept = verdicts(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("_kept")
     id_key = F.struct(F.col("doc_id"))  # a missing id is an id like any other
     ids = kept.select(F.struct("doc_id").alias("_id"))
