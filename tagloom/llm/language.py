@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import small
+from tagloom.llm.common import filed, small
 from tagloom.operators.ranking import top_k
 
 TRAIN_PER_LANG = 1000
@@ -98,7 +98,8 @@ def train(labelled: DataFrame) -> tuple[list[str], list[tuple[str, str, np.ndarr
     """The learned languages and machines from ``labelled(doc_id, text, lang)``; null languages are left out."""
     rows = labelled.where("lang IS NOT NULL")
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
-    picked = top_k(ids, ["lang"], [F.col("_h"), F.col("doc_id")], TRAIN_PER_LANG).select("doc_id", "lang")
+    # kept as files of known, bounded size, so that the texts need no shuffle
+    picked = filed(top_k(ids, ["lang"], [F.col("_h"), F.col("doc_id")], TRAIN_PER_LANG).select("doc_id", "lang"))
     sample = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
