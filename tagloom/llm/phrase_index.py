@@ -10,7 +10,8 @@ of one stretch [k * SLACK, (k + 2) * SLACK).
 
 Scale: an item is cut into chunks of ``CHUNK`` windows, so a diagonal's bits fit one long and sums of bits are formed before every shuffle.
 Index rows hold what one slice of about a megabyte has of one term; lists of frequent words are many rows in many files. A window with a word that
-no text holds asks for nothing. Which texts and places to read in the later steps is told by masks of fixed size. Small tables are kept as files, so that Spark knows their size when it plans a join; no side carries a broadcast hint. Texts are known by 64-bit
+no text holds asks for nothing. Which texts and places to read in the later steps is told by masks of fixed size. What comes of the items alone is kept as files, so that Spark knows its size when it plans a join and the index
+need not move; no side carries a broadcast hint. Texts are known by 64-bit
 hashes, so a text that a third of all documents repeat is one key.
 
 Edge cases: null texts and texts without words have no places, items without words no windows; items of fewer than ``WINDOW`` words are one
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import LOWER, SCAN_BYTES, Rolling, batched, filed, in_mask, mask_of, mix
+from tagloom.session import stage
 
 WINDOW, SEEDS, SLACK = 10, 3, 10
 FREQUENT = 8  # times in a slice of texts
@@ -192,7 +194,7 @@ def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame
     hit = bit(F.col("at")).alias("hit")
     # a text counts once per list and slice
     lists = index.join(wanted, "term").select("unit", "at", F.explode(F.array_distinct("texts")).alias("text_key"))
-    texts = filed(agreeing(lists.select("text_key", "unit", hit), asked))
+    texts = stage(agreeing(lists.select("text_key", "unit", hit), asked))
     places = places_of(index, wanted, mask_of(texts, "text_key"), False)
     on = places.join(wanted, "term").join(texts, ["text_key", "unit"])
     return on.select("text_key", "unit", (F.col("place") - F.col("at")).alias("diagonal"), hit)
@@ -201,11 +203,11 @@ def seed_hits(words: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame
 def exact(words: DataFrame, index: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
     """(text_key, unit, diagonal, span, starts): bit s of ``starts``: window s of the chunk occurs in the text at place diagonal + s."""
     likely = agreeing(hits, asked, "diagonal")
-    wanted = filed(likely.join(words, "unit").select(
+    wanted = stage(likely.join(words, "unit").select(
         "text_key", "term", (F.col("diagonal") + F.col("at")).alias("place"), "unit", "diagonal", "windows", "span", "at"
     ))
     spots = mask_of(wanted.select(spot(F.col("text_key"), F.col("place")).alias("spot")), "spot")
-    met = places_of(index, wanted, spots, True).distinct().join(wanted, ["term", "text_key", "place"])
+    met = places_of(index, words, spots, True).distinct().join(wanted, ["term", "text_key", "place"])
     bits = met.groupBy("text_key", "unit", "diagonal").agg(
         F.bit_or(bit(F.col("at"))).alias("bits"), F.first("windows").alias("windows"), F.first("span").alias("span")
     )
@@ -253,15 +255,15 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = filed(item_words(items))
     index = build(docs, words.select("term").distinct())
     asked = filed(seeds(words, index))
-    hits = filed(seed_hits(words, index, asked))
-    found = filed(exact(words, index, hits, asked))
+    hits = stage(seed_hits(words, index, asked))
+    found = stage(exact(words, index, hits, asked))
     ids = words.select("unit", "item_id").distinct()
     named = found.select("text_key", "unit").distinct().join(ids, "unit").select("text_key", "item_id").distinct()
     lists = named.groupBy("text_key").agg(
         F.count("item_id").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids")
     )
     close = near(hits, asked).join(ids, "unit").groupBy("text_key").agg(F.count_distinct("item_id").alias("n_near"))
-    result = filed(hit_words(found).join(lists, "text_key", "full").join(close, "text_key", "full"))
+    result = stage(hit_words(found).join(lists, "text_key", "full").join(close, "text_key", "full"))
     joined = F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",")
     zero = F.lit(0).cast("long")
     return counted(docs).join(result, "text_key", "left").select(
