@@ -406,6 +406,41 @@ def test_lines_keep_one_of_a_group(spark, docs, empty):
     assert lines.query(empty).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def check_lines(spark, rows):
+    """``lines.query`` removes as many lines of each text as groups formed by edit similarity of all pairs."""
+    occurrences = [(doc, " ".join(lines.normalised(x))) for doc, text in rows for x in text.split("\n")]
+    names = sorted({x for _, x in occurrences})
+    root = {x: x for x in names}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            most = int((1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9)
+            apart = sum((Counter(a) - Counter(b)).values()), sum((Counter(b) - Counter(a)).values())
+            if max(apart) <= most and find(a) != find(b) and edit_distance(a, b) <= most:
+                root[find(a)] = find(b)
+    seen, gone = set(), Counter()
+    for doc, x in occurrences:
+        gone[doc] += find(x) in seen
+        seen.add(find(x))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.query(df).collect()} == {k: gone[k] for k, _ in rows}
+    return sum(gone.values())
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
@@ -414,38 +449,41 @@ def test_lines_equal_brute_force(spark):
         for _ in range(5):
             words = cases.sentence(random.Random(rng.randint(0, 15)), 30).split()
             if rng.random() < 0.6:
-                words[rng.randrange(30)] = rng.choice(["of", "zz"])  # short words weigh little
+                words[rng.randrange(30)] = rng.choice(["of", "zz"])
             own.append(" ".join(words))
         rows.append((k, "\n".join(own)))
-    occurrences = [(doc, n, lines.normalised(x)) for doc, text in rows for n, x in enumerate(text.split("\n"))]
-    table = {(k, n): sim for k, n, _, sim, _ in (row for part in lines.line_table([t for _, t in rows]) for row in zip(*part))}
-    hashes = np.array([table[doc, n] for doc, n, _ in occurrences]).view(np.uint64)
-
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+    assert check_lines(spark, rows) > 100
 
-    root = list(range(len(occurrences)))
 
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for i in range(len(occurrences)):
-        for j in range(i):
-            a, b = " ".join(occurrences[i][2]), " ".join(occurrences[j][2])
-            near = a == b or (int(hashes[i] ^ hashes[j]).bit_count() <= lines.DISTANCE
-                              and edit(a, b) <= int((1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9))
-            if near and find(i) != find(j):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    gone = Counter(o[0] for k, o in enumerate(occurrences) if find(k) != k)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in lines.query(df).collect()} == {k: gone[k] for k, _ in rows}
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(18)
+    rows = []
+    for k in range(80):
+        line = "".join(rng.choice("abcdeé龥") for _ in range(rng.randint(9, 18)))
+        at, new = rng.randrange(len(line)), rng.choice("xyzö")
+        rows.append((k, "\n".join([line, rng.choice([line[:at] + new + line[at + 1:], line[:at] + new + line[at:], line[:at] + line[at + 1:]])])))
+    assert check_lines(spark, rows) > 60
+
+
+def test_within_equals_edit_distance():
+    rng = random.Random(38)
+    for _ in range(400):
+        a = "".join(rng.choice("ab龥") for _ in range(rng.randint(0, 90)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "x"])
+        b, d = "".join(b), edit_distance(a, "".join(b))
+        assert lines.within(a, b, d) and not lines.within(a, b, d - 1)
+
+
+def test_long_lines_of_one_group(spark):
+    rng = random.Random(48)
+    text = cases.sentence(rng, 9000)
+    edited = text[:5000] + "zz" + text[5001:30000] + text[30007:]
+    other = cases.sentence(rng, 9000)
+    got = lines.query(spark.createDataFrame([(1, text), (2, edited), (3, other)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 1), (3, 0)]
 
 
 def test_lines_find_edited_letters_and_words(spark):
