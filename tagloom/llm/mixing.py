@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The words of a source, its documents in a seeded random order, form one stream that is cut into blocks
-of ``BLOCK`` words. Slot i of the mix has a golden-ratio point in [0, 1), which falls into the
-interval of one source among the cumulative target shares; the slots of a source are ranked, and rank r reads block
-r modulo the number of its blocks. So every stretch of the mix has the wanted shares, a source is read from start
-to end before it repeats, and no document is read more than ``REPEATS`` times.
+The words of a source, its documents in a seeded random order, form one stream that is cut into equal blocks (to a word)
+of at most ``BLOCK`` words. A source wants as many slots as its blocks make up its target. Slot i of the mix has a golden-ratio point
+in [0, 1), which falls into the interval of one source among the cumulative shares of slots; the slots of a source are ranked, and
+rank r reads block r modulo the number of its blocks. So every source is spread evenly over the mix, is read from start
+to end before it repeats, and no document is read more than ``REPEATS`` times. A source gets its slots but for a few,
+of ``FINE`` or more in all but the smallest sources, so its words come near the target.
 
 Scale: slots, blocks and documents are rows; ranks and stream positions come from counts per bounded
 bucket plus a sort inside it; a source with a third of all rows has as many buckets as it needs.
@@ -26,7 +27,8 @@ from tagloom.session import stage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-BLOCK = 64
+#: Words of a block at most; smaller sources have smaller blocks, down to single words, so that they have some ``FINE`` of them.
+BLOCK, FINE = 64, 4096
 BUCKET_ROWS = 4096
 CELLS = 1024
 #: Golden-ratio points as exact integers: i * GOLDEN modulo 2^31; GOLDEN is odd and next to 2^31 * 0.618034.
@@ -97,18 +99,30 @@ def point(slot: Column) -> Column:
     return ((slot % span) * GOLDEN) % span / F.lit(float(span))
 
 
+def blocks(plan: DataFrame) -> DataFrame:
+    """``plan`` with the equal blocks of each source: n_blocks, the words ``base`` of a block, one more in the first ``longer`` blocks,
+    and ``slots``, the blocks that make up the target."""
+    size = F.col("source_size")
+    return (
+        plan.withColumn("n_blocks", F.ceil(size / F.greatest(F.least(F.ceil(size / FINE), F.lit(BLOCK)), F.lit(1))))
+        .withColumn("base", F.expr("source_size div nullif(n_blocks, 0)"))
+        .withColumn("longer", size - F.col("base") * F.col("n_blocks"))
+        .withColumn("slots", F.when(size > 0, F.col("target") * F.col("n_blocks") / size).otherwise(0.0))
+    )
+
+
 def schedule(plan: DataFrame) -> DataFrame:
     """(slot, source, rank): which source each slot of the mix reads, and the how-manieth of its slots it is."""
     spark = plan.sparkSession
     up_to = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0)
     shares = (
-        plan.withColumn("_high", F.sum("target").over(up_to))
-        .withColumn("_all", F.sum("target").over(Window.partitionBy()))
-        .where("target > 0")
-        .select("source", ((F.col("_high") - F.col("target")) / F.col("_all")).alias("low"),
+        plan.withColumn("_high", F.sum("slots").over(up_to))
+        .withColumn("_all", F.sum("slots").over(Window.partitionBy()))
+        .where("slots > 0")
+        .select("source", ((F.col("_high") - F.col("slots")) / F.col("_all")).alias("low"),
                 (F.col("_high") / F.col("_all")).alias("high"))
     )
-    slots = int(plan.agg(F.sum(F.ceil(F.col("target") / BLOCK))).first()[0] or 0)
+    slots = round(plan.agg(F.sum("slots")).first()[0] or 0)
     # an interval meets few of the equal cells, so points find it by an equality join
     first, last = F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))
     cells = shares.withColumn("cell", F.explode(F.sequence(first, last)))
@@ -123,11 +137,11 @@ def schedule(plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of the document that the mix reads)."""
     rows = stage(streams(docs))
-    plan = stage(targets(rows.groupBy("source").agg(F.max("source_size").alias("source_size"))))
-    n_blocks = F.ceil(F.col("source_size") / BLOCK)
+    plan = stage(blocks(targets(rows.groupBy("source").agg(F.max("source_size").alias("source_size")))))
+    layout = plan.select(F.struct("source").alias("_s"), "n_blocks", "base", "longer")
     reads = (
         schedule(plan).withColumn("_s", F.struct("source"))
-        .join(plan.select(F.struct("source").alias("_s"), n_blocks.alias("n_blocks")), "_s")
+        .join(layout.select("_s", "n_blocks"), "_s")
         .where(F.col("rank") < REPEATS * F.col("n_blocks"))
         .groupBy("_s", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
     )
@@ -136,10 +150,13 @@ def mix(docs: DataFrame) -> DataFrame:
         rows.where("size > 0").select("*", F.struct("source").alias("_s"), F.monotonically_increasing_id().alias("_row"))
     )
     pieces = stage(pieces)
-    touched = pieces.withColumn(
-        "block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
+    # the blocks of base + 1 words end at the word longer * (base + 1)
+    of = "if({0} < longer * (base + 1), {0} div (base + 1), longer + ({0} - longer * (base + 1)) div base)"
+    touched = pieces.join(layout, "_s").withColumn(
+        "block", F.explode(F.sequence(F.expr(of.format("start")), F.expr(of.format("(start + size - 1)"))))
     )
-    part = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
+    begin, after = (F.expr(f"{b} * base + least({b}, longer)") for b in ("block", "(block + 1)"))
+    part = F.least(end, after) - F.greatest(F.col("start"), begin)
     taken = (
         touched.join(reads, ["_s", "block"])
         .groupBy("_row").agg(F.sum(part * F.col("times")).alias("taken"))
