@@ -284,6 +284,15 @@ _FLAT = "regexp_replace({}, '&#10|&#xA|\\n|\\r', ' ', 'g')"
 _JOINED = "array_to_string(list_sort({}), ',')"
 
 _TEST = "(substring(md5('11:' || q_id::VARCHAR), 1, 8) < 'cccccccc')"
+_SPLIT_SVM = _svm(rows=f"(SELECT * FROM feat WHERE {_TEST})", members=f"(SELECT * FROM pairs WHERE {_TEST})")
+_ACCURACY = f"""
+        SELECT p.tag, round(avg(((coalesce(m.m, 0) > 0)::INTEGER = p.label)::INTEGER), 6) AS accuracy,
+               count(*) AS n_test
+        FROM pairs p LEFT JOIN (
+          SELECT r.tag, r.q_id, sum(r.x * w.w) AS m FROM feat r
+          JOIN w20 w ON w.tag = r.tag AND w.term = r.term GROUP BY r.tag, r.q_id) m
+        ON m.tag = p.tag AND m.q_id = p.q_id
+        WHERE NOT {_TEST.replace('q_id', 'p.q_id')} GROUP BY p.tag"""
 
 ORACLES = {
     "tag_popularity": _with() + "SELECT tag, cnt FROM tags",
@@ -354,17 +363,7 @@ ORACLES = {
         ON m.tag = p.tag AND m.q_id = p.q_id""",
     "recommend_top10": _with(_PLAIN, _PER_TAG, _svm(), _TOP10.strip()),
     "split_80_20": _with() + f"SELECT q_id, {_TEST} AS in_train FROM q",
-    "accuracy_report": _with(
-        _PLAIN, _PER_TAG,
-        _svm(rows=f"(SELECT * FROM feat WHERE {_TEST})", members=f"(SELECT * FROM pairs WHERE {_TEST})"),
-    ) + f"""
-        SELECT p.tag, round(avg(((coalesce(m.m, 0) > 0)::INTEGER = p.label)::INTEGER), 6) AS accuracy,
-               count(*) AS n_test
-        FROM pairs p LEFT JOIN (
-          SELECT r.tag, r.q_id, sum(r.x * w.w) AS m FROM feat r
-          JOIN w20 w ON w.tag = r.tag AND w.term = r.term GROUP BY r.tag, r.q_id) m
-        ON m.tag = p.tag AND m.q_id = p.q_id
-        WHERE NOT {_TEST.replace('q_id', 'p.q_id')} GROUP BY p.tag""",
+    "accuracy_report": _with(_PLAIN, _PER_TAG, _SPLIT_SVM) + _ACCURACY,
     "embedding_assign": _EMBED + "SELECT q_id, cluster_id FROM placed",
     "embedding_lloyd_step": _EMBED + ",\n" + _means("rows", "placed", "moved")
     + "SELECT cluster_id, term AS dim, round(v, 6) AS v FROM moved",
@@ -395,3 +394,68 @@ ORACLES = {
         WHERE rank <= 5""",
 }
 ORACLES["stream_recommend"] = ORACLES["recommend_top10"]
+
+
+# --- through files ----------------------------------------------------------------------
+
+
+def _command(*parts: str, blank: str = "{}") -> str:
+    """``_with`` over the questions that the commands accept: cleaned, with listed tags only, in chunks of 200,000.
+
+    ``blank``: what a file form makes of an element's text.
+    """
+    flat_title = blank.format(_FLAT.format(_CLEAN_TITLE.format("title")))
+    flat_body = blank.format(_FLAT.format(_CLEAN_BODY.format("body")))
+    questions = _Q.replace("q AS (", "raw AS (", 1) + f""",
+rawt AS (SELECT DISTINCT q_id, unnest(tags) AS tag FROM raw),
+tags AS (SELECT lower(tag) AS tag, count(DISTINCT q_id) AS cnt FROM rawt
+         WHERE lower(tag) <> 'src7' GROUP BY lower(tag) HAVING cnt > 9),
+q AS (SELECT q_id, {flat_title} AS title, {flat_body} AS body, list_distinct(tags) AS tags,
+        (row_number() OVER (ORDER BY q_id) - 1) // 200000 AS src_file, q_id AS pos
+      FROM raw WHERE q_id NOT IN (SELECT q_id FROM rawt WHERE tag NOT IN (SELECT tag FROM tags)))"""
+    return ",\n".join(["WITH" + questions, _QT, _CONTENT, _SPLIT, _PAIRS, *parts]) + "\n"
+
+
+_ELEMENT = "nullif(trim({}), '')"
+_COMMAND_CLUSTERS = _command(_GLOBAL, _kmeans(4, steps=3))
+_OWN_TAGS = "own AS (SELECT DISTINCT f.cluster_id, qt.tag FROM final f JOIN qt ON qt.q_id = f.q_id JOIN indexed i ON i.q_id = f.q_id)"
+
+ORACLES |= {
+    "tag_file_round_trip": _command() + """
+        SELECT upper(tag) AS tag, (SELECT count(*) FROM tags) AS n_written FROM tags
+        UNION ALL SELECT tag, (SELECT count(*) FROM tags) FROM tags""",
+    "command_index": _command(blank=_ELEMENT)
+    + f"SELECT q_id, content, {_JOINED.format('tags')} AS tags, split FROM split",
+    "command_training_set": _command() + "SELECT tag, label, q_id FROM pairs",
+    "command_models": _command(_PLAIN, _PER_TAG, _svm()) + """
+        SELECT w.tag, w.term, round(w.w, 6) AS w, round(i.idf, 6) AS idf
+        FROM w20 w JOIN idf i ON i.tag = w.tag AND i.term = w.term""",
+    "command_report": "SELECT tag, accuracy FROM (" + _command(_PLAIN, _PER_TAG, _SPLIT_SVM) + _ACCURACY + ")",
+    "command_recommend": _command(_PLAIN, _PER_TAG, _svm(), _TOP10.strip()),
+    "command_clusters": _COMMAND_CLUSTERS + """
+        SELECT m.cluster_id, m.term, round(m.v, 6) AS v, g.df FROM means3 m JOIN gdf g ON g.term = m.term""",
+    "command_cluster_tags": _COMMAND_CLUSTERS.rstrip() + ",\n" + _OWN_TAGS + " SELECT cluster_id, tag FROM own",
+    "command_recommend_routed": ",\n".join([
+        _command(_PLAIN, _PER_TAG).rstrip(), _svm().replace("members", "smembers"),
+        _GLOBAL, _kmeans(4, steps=3), _OWN_TAGS, _SCORES.strip(),
+        """hfeat AS MATERIALIZED (SELECT s.q_id, s.term,
+             s.tf::DOUBLE / (sum(s.tf) OVER (PARTITION BY s.q_id))::DOUBLE * i.idf AS x
+           FROM stemmed s JOIN heldout h ON h.q_id = s.q_id JOIN gidf i ON i.term = s.term)""",
+        _nearest("hfeat", "heldout", "means3", "routed"),
+    ]) + """
+        SELECT q_id, cluster_id, rank, tag, round(score, 6) AS score FROM (
+          SELECT r.q_id, r.cluster_id, c.tag, coalesce(s.score, 0) AS score,
+            row_number() OVER (PARTITION BY r.q_id ORDER BY coalesce(s.score, 0) DESC, c.tag) AS rank
+          FROM routed r JOIN own c ON c.cluster_id = r.cluster_id
+          JOIN (SELECT DISTINCT tag FROM idf) m ON m.tag = c.tag
+          LEFT JOIN hits s ON s.q_id = r.q_id AND s.tag = c.tag)
+        WHERE rank <= 5""",
+    "question_xml_files": _with() + f"""
+        SELECT q_id, {_ELEMENT.format('title')} AS title, {_ELEMENT.format(_CLEAN_BODY.format('body'))} AS body,
+          {_JOINED.format('tags')} AS tags, len(tags) AS answer_count, length(body) AS view_count FROM q""",
+    "holdout_file": _with() + f"""
+        SELECT q_id, regexp_replace(content, '[\\t\\r\\n]', ' ', 'g') AS content, {_JOINED.format('tags')} AS tags FROM heldout""",
+    "cluster_assign_file": ORACLES["embedding_assign"],
+    "cluster_tag_files": _with(_EMBED.removeprefix("WITH "))
+    + "SELECT DISTINCT p.cluster_id, qt.tag FROM placed p JOIN qt ON qt.q_id = p.q_id",
+}

@@ -66,8 +66,8 @@ def _escape(c):
     return c
 
 
-def xml_posts_round_trip(spark, d):
-    """Documents and benchmark items as the lines of a posts dump, parsed and cleaned again."""
+def post_lines(spark, d) -> DataFrame:
+    """Documents and benchmark items as the lines of a posts dump: (value)."""
     q = V.questions(spark, d)
     tags = F.concat(F.lit("<"), F.array_join("tags", "><"), F.lit(">"))
     row = F.concat(
@@ -80,8 +80,12 @@ def xml_posts_round_trip(spark, d):
         F.concat(F.lit('  <row Id="'), F.col("item_id").cast("string"),
                  F.lit('" PostTypeId="2" Body="'), _escape(F.col("text")), F.lit('" />')).alias("value")
     )
-    lines = q.select(row.alias("value")).unionByName(answers)
-    cleaned = posts.clean_posts(posts.parse_post_lines(lines))
+    return q.select(row.alias("value")).unionByName(answers)
+
+
+def xml_posts_round_trip(spark, d):
+    """The lines of a posts dump, parsed and cleaned again."""
+    cleaned = posts.clean_posts(posts.parse_post_lines(post_lines(spark, d)))
     return cleaned.select(
         "q_id", "title", "body", cleaning.joined_tags(F.col("tags")).alias("tags"),
         "answer_count", "view_count",

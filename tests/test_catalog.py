@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tagloom.catalog.files import QUERIES as FILE_QUERIES
 from tagloom.catalog.oracles import ORACLES
-from tagloom.catalog.queries import QUERIES
+from tagloom.catalog.queries import QUERIES as TABLE_QUERIES
+
+QUERIES = {**TABLE_QUERIES, **FILE_QUERIES}
 
 SF = os.environ.get("TAGLOOM_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
