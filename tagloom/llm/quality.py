@@ -33,12 +33,10 @@ AXES = ("x0", "x1", "x2", "x3")
 #: Standard deviations below which an axis counts as constant: a ratio that is zero nearly
 #: everywhere would otherwise make the scatter singular and reject every row that has any.
 FLOOR = (0.10, 0.45, 0.45, 0.45)
-POSITION_BITS = 28
 
 
 def repeated_window_words(found: Column, size: int = WINDOW) -> Column:
     """Number of array elements inside a window of ``size`` elements that occurs twice or more."""
-    low = F.lit((1 << POSITION_BITS) - 1)
     hashed = F.transform(found, lambda w: F.xxhash64(w))
     n = F.size(found)
 
@@ -48,27 +46,22 @@ def repeated_window_words(found: Column, size: int = WINDOW) -> Column:
             F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)])),
         ).otherwise(F.array().cast("array<bigint>"))
 
-    def at(x: Column) -> Column:
-        return x.bitwiseAND(low).cast("int")
-
     # one-element transforms bind an array to a name, so that it is made once a row
     def bind(value: Column, use) -> Column:
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def repeated(g: Column) -> Column:
-        packed = F.sort_array(
-            F.transform(g, lambda x, i: x.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR(i.cast("bigint")))
-        )
-        return bind(packed, lambda s: F.filter(s, lambda x, i: F.coalesce(
-            F.get(g, at(x)) == F.get(g, at(F.get(s, i - 1))), F.lit(False)) | F.coalesce(
-            F.get(g, at(x)) == F.get(g, at(F.get(s, i + 1))), F.lit(False))))
+        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return bind(placed, lambda s: F.filter(s, lambda x, i: F.coalesce(
+            x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(
+            x["h"] == F.get(s, i + 1)["h"], F.lit(False))))
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, j: F.least(F.lit(size), F.coalesce(F.get(p, j + 1) - x, F.lit(size))))
         return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
     positions = bind(hashed, lambda h: bind(window_hashes(h), repeated))
-    return bind(F.sort_array(F.transform(positions, at)), covered)
+    return bind(F.sort_array(F.transform(positions, lambda x: x["at"])), covered)
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
