@@ -11,8 +11,8 @@ the templates and their terms' weights, bounded by the template list. Directorie
 number of their files, so a directory with a third of all files is one row.
 
 Edge cases: a null or empty text has no own licence; a null path has no directory and inherits nothing; of several licences in
-one directory the most frequent wins, then the first by name; equal cosines go to the first template by name; a template with a version is met only by a statement with that version; repeated
-rows get equal results; an empty table gives no rows; columns other than the named ones are ignored.
+one directory the most frequent wins, then the first by name; equal cosines go to the first template by name; a template with a version is met only by a statement with that version; every
+row gets a row, so repeated rows get equal ones; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def weighed(terms: list[str], idf: dict[str, float], rare: float) -> tuple[dict[
 def own_licences(
     files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, markup: bool = False
 ) -> DataFrame:
-    """``files(file, text)`` -> file, licence (null below ``least``) and score of the closest statement."""
+    """``files(file, text, ...)`` -> the other columns, licence (null below ``least``) and score of the closest statement, a row for each row."""
     templates = templates or TEMPLATES
     idf, rare = idf_weights(files, templates, markup)
     index: dict[str, list[tuple[int, float]]] = {}
@@ -128,7 +128,7 @@ def own_licences(
                 index.setdefault(t, []).append((len(names), x / length))
             names.append(name)
             needs.append(versions([t for s in statements(text) for t in s]))
-    id_type = files.schema["file"].dataType.simpleString()
+    kept = files.drop("text")
 
     def closest(text: str | None) -> tuple[str | None, float]:
         best, who = 0.0, None
@@ -154,13 +154,13 @@ def own_licences(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = [closest(t.as_py()) for t in batch.column(1)]
+            found = [closest(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=["file", "licence", "score"],
+                [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=[*batch.schema.names[:-1], "licence", "score"],
             )
 
-    return files.select("file", "text").mapInArrow(scan, f"file {id_type}, licence string, score double")
+    return files.select(*kept.columns, "text").mapInArrow(scan, kept.schema.add("licence", "string").add("score", "double"))
 
 
 def directory(path: Column) -> Column:
@@ -196,10 +196,8 @@ def scan(files: DataFrame, notice: Column | None = None, markup: bool = False) -
 
     ``notice``: which files speak for their directory (a condition on path and own_licence); by default those named as licence files.
     """
-    own = own_licences(files, markup=markup).select(F.struct("file").alias("_f"), F.col("licence").alias("own_licence"), "score")
-    own = own.distinct()
-    rows = files.select(F.struct("file").alias("_f"), "path").distinct().join(own, "_f")
-    rows = stage(rows.groupBy("_f", "path").agg(F.max(F.struct("score", "own_licence")).alias("_m")).select("_f.file", "path", "_m.*"))
+    own = own_licences(files.select("file", "path", "text"), markup=markup)
+    rows = stage(own.select("file", "path", F.col("licence").alias("own_licence"), "score"))
     rows = rows.withColumn("dir", directory(F.col("path")))
     speaks = rows.where(is_notice(F.col("path")) if notice is None else notice)
     from_above = inherited(rows.select("dir"), directory_licences(speaks.select("dir", F.col("own_licence").alias("licence"))))

@@ -170,7 +170,24 @@ def test_licences_and_inheritance(spark):
         1: ("MIT", "MIT", None, None), 2: (None, "CC-BY-NC-4.0", "p/a", 1), 3: ("CC-BY-NC-4.0",) * 2 + (None, None),
         4: ("Apache-2.0", "Apache-2.0", None, None), 5: (None,) * 4, 6: (None,) * 4, 7: (None, "MIT", "p", 3), 8: (None, "MIT", "p", 0),
     }
-    assert licenses.scan(df.limit(0)).count() == 0
+    assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df).count() == len(files)
+
+
+def test_licences_give_a_row_for_each_row(spark):
+    """Repeated ids and urls, ties, clashing columns, a very long text, empty tables."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    pages = [(1, "http://a.b/c/d", mit, "x"), (1, "http://a.b/c/d", "none", "x"), (1, "http://a.b/c/d", apache, None), (None, None, None, "y")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string, licence string")
+    texts = [(1, apache, "s", 1), (1, apache, "s", 1), (1, None, None, None), (2, "word " * 300_000 + ".\n" + mit, "s", 0), (None, "", "", 2)]
+    texts = spark.createDataFrame(texts, "doc_id long, text string, source string, dir long")
+    got = licenses.query(pages, texts).collect()
+    assert len(got) == 9
+    # a tie in a directory goes to the first by name
+    assert sorted(str(r.licence) for r in got if r.origin == "pages") == ["Apache-2.0", "Apache-2.0", "MIT", "None"]
+    assert sorted((str(r.file), str(r.own_licence)) for r in got if r.origin == "documents") == [
+        ("1", "Apache-2.0"), ("1", "Apache-2.0"), ("1", "None"), ("2", "MIT"), ("None", "None")]
+    assert licenses.query(pages.limit(0), texts.limit(0)).count() == 0
+    assert licenses.query(pages.limit(0), texts).count() == 5
 
 
 def test_licence_cosine_by_hand(spark):
