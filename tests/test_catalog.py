@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(df.columns)
     want = duck.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})")
     assert sorted(want.columns) == cols
-    assert sorted(plain(r) for r in df.select(cols).collect()) == sorted(plain(r) for r in want.fetchall())
+    assert sorted(map(plain, df.select(cols).collect()), key=repr) == sorted(map(plain, want.fetchall()), key=repr)
     spark.catalog.clearCache()
 
 
