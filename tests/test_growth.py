@@ -1,8 +1,9 @@
 """More documents give more tasks, not larger ones."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import features, segment, terms
+from tagloom.operators import features, segment, svm, terms
 from tagloom.operators.sharding import DOCS_PER_TASK
 from tagloom.session import shuffle_partitions
 
@@ -19,3 +20,17 @@ def test_term_rows_and_texts_are_dealt_by_the_number_of_documents(spark):
     assert weighted.partitions == want and weighted.features.rdd.getNumPartitions() == want
     assert segment.with_split(q).rdd.getNumPartitions() == want
     weighted.release()
+
+
+def test_svm_in_rounds_equals_in_task_with_repeated_documents(spark):
+    pairs = [("a", q % 2, q) for q in range(12)] + [("a", 1, 1), ("a", 0, 2), ("b", 1, 3), ("b", 0, 4)]
+    counts = [(q, f"w{(q * q + k) % 5}", 1 + k) for q in range(12) for k in range(3)]
+    w = features.weigh(
+        spark.createDataFrame(pairs, "tag string, label int, q_id long"),
+        spark.createDataFrame(counts, "q_id long, term string, tf long").groupBy("q_id", "term").agg(F.sum("tf").alias("tf")),
+        min_df=1, docs_per_shard=3,
+    )
+    in_task = {(r.tag, r.term): r.w for r in svm.train(w).collect()}
+    spread = {(r.tag, r.term): r.w for r in svm.train(w, entries_per_task=0).collect()}
+    assert in_task.keys() == spread.keys() and any(in_task.values())
+    assert all(spread[k] == pytest.approx(v, abs=1e-9) for k, v in in_task.items())
