@@ -34,3 +34,26 @@ def test_svm_in_rounds_equals_in_task_with_repeated_documents(spark):
     spread = {(r.tag, r.term): r.w for r in svm.train(w, entries_per_task=0).collect()}
     assert in_task.keys() == spread.keys() and any(in_task.values())
     assert all(spread[k] == pytest.approx(v, abs=1e-9) for k, v in in_task.items())
+
+
+def test_training_moves_one_row_per_member_and_trains_over_several_units(spark):
+    pairs = [("a", q % 2, q) for q in range(40)] + [("a", 1, 1)]
+    counts = [(q, f"w{(q * q + k) % 7}", 1 + k) for q in range(40) for k in range(4)]
+    w = features.weigh(
+        spark.createDataFrame(pairs, "tag string, label int, q_id long"),
+        spark.createDataFrame(counts, "q_id long, term string, tf long"), min_df=1, docs_per_shard=2,
+    )
+    assert w.documents.count() == len(pairs)
+    assert w.documents.select(F.expr(f"shard div {svm.SHARDS_PER_UNIT}")).distinct().count() > 1
+    assert w.features.count() == len(pairs) * 4
+    spread = svm.train(w, entries_per_task=0)
+    weights = {r.term: r.w for r in spread.collect()}
+    in_task = {r.term: r.w for r in svm.train(w).collect()}
+    assert weights == pytest.approx(in_task, abs=1e-9) and any(weights.values())
+    want = {}
+    for r in w.features.collect():
+        want[r.q_id] = want.get(r.q_id, 0.0) + r.x * weights[r.term]
+    got = svm.margins(w, spread).collect()
+    assert len(got) == len(pairs)
+    assert all(r.margin == pytest.approx(want[r.q_id], abs=1e-9) for r in got)
+    w.release()
