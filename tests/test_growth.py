@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import features, segment, svm, terms
+from tagloom.operators import clusters, features, segment, svm, terms
 from tagloom.operators.sharding import DOCS_PER_TASK
 from tagloom.session import shuffle_partitions
 
@@ -57,3 +57,17 @@ def test_training_moves_one_row_per_member_and_trains_over_several_units(spark):
     assert len(got) == len(pairs)
     assert all(r.margin == pytest.approx(want[r.q_id], abs=1e-9) for r in got)
     w.release()
+
+
+def test_kmeans_places_the_terms_of_its_shards_once(spark, monkeypatch):
+    rows = [("*", q % 3, q, f"w{q % 2}{k}", 1.0 + k) for q in range(12) for k in range(2)]
+    feats = spark.createDataFrame(rows, "tag string, shard int, q_id long, term string, x double")
+    docs, calls, held = spark.range(12).withColumnRenamed("id", "q_id"), [], clusters.held_terms
+    monkeypatch.setattr(clusters, "held_terms", lambda packed: calls.append(1) or held(packed))
+    packed = clusters.pack(feats).persist()
+    centroids = clusters.fit(packed, docs, 2, max_iter=2, runs=1)
+    assert calls == [1]
+    assert packed.is_cached  # the caller's to release
+    found = {r.q_id: r.cluster_id for r in clusters.assign(packed, docs, centroids).collect()}
+    assert all(found[q] == found[q % 2] for q in found) and len(set(found.values())) == 2
+    packed.unpersist()
