@@ -71,3 +71,26 @@ def test_kmeans_places_the_terms_of_its_shards_once(spark, monkeypatch):
     found = {r.q_id: r.cluster_id for r in clusters.assign(packed, docs, centroids).collect()}
     assert all(found[q] == found[q % 2] for q in found) and len(set(found.values())) == 2
     packed.unpersist()
+
+
+def test_packed_vectors_equal_the_term_rows_without_sorting_these(spark):
+    pairs = spark.createDataFrame([("*", q) for q in range(30)] + [("*", 99)], "tag string, q_id long")
+    counts = [(q, f"w{(q * q + k) % 7}", 1 + k) for q in range(30) for k in range(4)] + [(0, "rare", 1), (99, "rare", 2)]
+    w = features.weigh(pairs, spark.createDataFrame(counts, "q_id long, term string, tf long"), min_df=3, docs_per_shard=4)
+    packed = features.vectors(w)
+    assert packed.rdd.getNumPartitions() == w.partitions
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "CollectList" not in plan
+    got = {(r.tag, r.shard, r.q_id, t): x for r in packed.collect() for t, x in zip(r.terms, r.xs, strict=True)}
+    want = {(r.tag, r.shard, r.q_id, r.term): r.x for r in w.features.collect()}
+    assert want and got == pytest.approx(want, abs=1e-12)
+    assert all(r.terms for r in packed.collect())  # a document without kept terms has no row
+    # means of groups that overlap, name a document twice, or know no cluster
+    groups = spark.createDataFrame(
+        [(q % 3, q) for q in range(30)] + [(1, 0), (1, 0), (2, 99), (None, 4)], "cluster_id int, q_id long"
+    )
+    means = [
+        {(r.cluster_id, r.term): r.v for r in clusters.mean_vectors(f, groups).collect()} for f in (packed, w.features)
+    ]
+    assert means[0] == pytest.approx(means[1], abs=1e-12)
+    w.release()
