@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import PLAIN, STEM
 from tagloom.operators import clusters, features, segment, svm, terms
 from tagloom.operators.sharding import DOCS_PER_TASK
 from tagloom.session import shuffle_partitions
@@ -94,3 +95,23 @@ def test_packed_vectors_equal_the_term_rows_without_sorting_these(spark):
     ]
     assert means[0] == pytest.approx(means[1], abs=1e-12)
     w.release()
+
+
+def test_packed_terms_are_the_counted_words_and_no_word_is_a_row(spark):
+    docs = spark.createDataFrame(
+        [(1, "Red red fox of Über-Straße x9y"), (2, None), (3, ""), (4, "of a"), (5, "red"), (5, "Fox red"), (None, "lost word")],
+        "q_id long, content string",
+    )
+    for profile in (PLAIN, STEM):
+        packed = terms.packed_terms(docs, profile)
+        got = sorted((str(r.q_id), t, n) for r in packed.collect() for t, n in zip(r.terms, r.tfs, strict=True))
+        assert got == sorted((str(r.q_id), r.term, r.tf) for r in terms.document_terms(docs, profile).collect())
+        assert all(r.terms for r in packed.collect())
+    plain = terms.packed_terms(docs)
+    assert "Generate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    pairs = spark.createDataFrame([("a", 1, 1), ("a", 0, 5), ("a", 0, 2)], "tag string, label int, q_id long")
+    both = [features.weigh(pairs, t, min_df=1) for t in (plain, terms.document_terms(docs))]
+    x = [{(r.q_id, r.term): r.x for r in w.features.collect()} for w in both]
+    assert x[0] and x[0] == pytest.approx(x[1], abs=1e-12)
+    for w in both:
+        w.release()
