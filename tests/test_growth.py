@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import PLAIN, STEM
-from tagloom.operators import clusters, features, segment, svm, terms
+from tagloom.operators import clusters, features, scoring, segment, svm, terms
 from tagloom.operators.sharding import DOCS_PER_TASK
 from tagloom.session import shuffle_partitions
 
@@ -115,3 +115,16 @@ def test_packed_terms_are_the_counted_words_and_no_word_is_a_row(spark):
     assert x[0] and x[0] == pytest.approx(x[1], abs=1e-12)
     for w in both:
         w.release()
+
+
+def test_vectors_of_unseen_questions_are_made_once_and_released(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "red red fox"), (2, "blue"), (3, "nothing known"), (4, None)], "q_id long, content string")
+    centroids = spark.createDataFrame([(0, "red", 2.0), (1, "blue", 1.0)], "cluster_id int, term string, v double")
+    idf = spark.createDataFrame([("red", 2.0), ("blue", 2.0)], "term string, idf double")
+    plans, stage = [], scoring.stage
+    monkeypatch.setattr(scoring, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    placed = scoring.place_unseen(q, centroids, idf, PLAIN)
+    assert len(plans) == 1 and "InMemoryRelation" in plans[0]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert {r.q_id: r.cluster_id for r in placed.collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
