@@ -1,17 +1,17 @@
 """N-gram Jaccard join over a prefix tree.
 
 A text is the set of its hashed ``SIZE``-word shingles (ASCII letters lower-cased; a shorter text is one shingle). All sets
-follow one global order: shingles that a share of at least ``HOT_SHARE`` of the documents has come last, others by hash. Two sets
+follow one global order: shingles by the power of two of the number of documents that have them, as far as it is known, then by hash. Two sets
 with a Jaccard similarity of at least ``PERCENT`` % then share one of their first (100 - PERCENT) % + 1
-shingles, so sets meet in the buckets of those. Which shingles count as hot changes the work, never the result.
+shingles, so sets meet in the buckets of those. What is known of the numbers changes the work, never the result.
 
 Pairs are verified per probe set: its partners' ordered sets form a trie, walked depth first, so that partners with a
 common start share the partial overlap up to where they part; a branch ends as soon as the overlap plus the
 shorter of the remaining lengths cannot reach the bound. Every linked pair of different sets is checked exactly, or
 lies in a group that is joined already (``buckets.grouped``); equal sets are one class from the start.
 
-Scale: the hot list is bounded, at most (mean set size) / HOT_SHARE shingles whatever the corpus; only the first shingles
-are shuffled; counts per cell of hash space tell most false partners apart, and whole sets travel only for the others; a family of
+Scale: numbers of documents are kept in a table of 2^``RANK_BITS`` bytes whatever the corpus, so that a shingle of a few dozen documents
+comes after rare ones in a large corpus too, and buckets stay small; only the first shingles are shuffled; counts per cell of hash space tell most false partners apart, and whole sets travel only for the others; a family of
 near copies is checked in blocks, so that each set travels few times.
 
 Edge cases: null texts and texts without a word are empty sets, linked with nothing (component_id = doc_id); repeated rows
@@ -35,7 +35,7 @@ from tagloom.llm.common import aside, components, in_mask, mask_of, mix, small,
 from tagloom.session import stage
 
 SIZE, PERCENT = 4, 85
-HOT_SHARE = 0.0002
+RANK_BITS = 22
 TRIE_SETS = 128
 CELLS = 128
 COUNTED = 1 << 22  # shingles that are counted at a time
@@ -56,11 +56,9 @@ def profile(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount(found & np.uint64(CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def ordered(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """``found`` (sorted) with the hot ones last."""
-    at = np.searchsorted(hot, found)
-    last = hot[np.minimum(at, len(hot) - 1)] == found if len(hot) else np.zeros(len(found), bool)
-    return np.concatenate([found[~last], found[last]])
+def ordered(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """``found`` (sorted) by rank, then by hash."""
+    return found[np.argsort(ranks[found >> np.uint64(64 - RANK_BITS)], kind="stable")]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -68,13 +66,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def hot_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """Sorted shingles that at least ``HOT_SHARE`` of the documents have, as far as they are
-    common within the parts they are counted in."""
+def shingle_ranks(docs: DataFrame, size: int = SIZE) -> np.ndarray:
+    """The rank of each cell of hash space: the highest power of two of the documents that have one of its shingles, 0 below 3, as far as a shingle
+    occurs twice or more within the parts it is counted in."""
 
     def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        often = times >= max(2, HOT_SHARE * len(sets) / 2)
+        often = times >= 2
         return pa.RecordBatch.from_arrays(
             [pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], names=["token", "n"]
         )
@@ -90,13 +88,15 @@ def hot_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
                 held, total = [], 0
         yield counts(held)
 
-    total = docs.count()
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = rows.where(F.col("n") >= max(3, HOT_SHARE * total)).select("token").toPandas()["token"]
-    return np.sort(often.to_numpy(np.int64).view(np.uint64))
+    cell = F.shiftrightunsigned("token", 64 - RANK_BITS).cast("int").alias("cell")
+    known = rows.where("n > 2").groupBy(cell).agg(F.max(F.floor(F.log2("n")).cast("byte")).alias("rank")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.uint8)
+    out[known["cell"].to_numpy()] = known["rank"].to_numpy()
+    return out
 
 
-def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
+def signed_sets(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
     """doc_id, n, set_id (hash of the whole set, null if empty) and prefix (null where the task has shown the set before)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -110,7 +110,7 @@ def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
                 own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 ids.append(own)
                 fresh = own is not None and own not in shown
-                prefixes.append(ordered(found, hot)[: prefix_length(len(found), percent)].view(np.int64) if fresh else None)
+                prefixes.append(ordered(found, ranks)[: prefix_length(len(found), percent)].view(np.int64) if fresh else None)
                 if len(shown) < 1_000_000:
                     shown.add(own)
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +121,7 @@ def signed_sets(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, n long, set_id long, prefix array<long>, profile binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, hot: np.ndarray, size: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
     """(node, items): the ordered sets of ``wanted(node, k)``, k the hash of a doc_id that has it; items are big-endian.
 
     Texts are not shuffled: a mask of bounded size tells which of them to read, the join drops what it lets through.
@@ -131,7 +131,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, hot: np.ndarray, size: int) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             batch = batch.filter(pa.array(in_mask(mask, batch.column(0).to_numpy())))
-            sets = [ordered(x, hot) for x in shingle_sets(batch.column(1).to_pylist(), size)]
+            sets = [ordered(x, ranks) for x in shingle_sets(batch.column(1).to_pylist(), size)]
             ids = [xxhash.xxh3_64_intdigest(np.sort(x).tobytes()) - (1 << 63) for x in sets]
             items = [x.astype(">u8").tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["k", "node", "items"])
@@ -230,16 +230,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_id (class of equal sets, null if empty) and component_id of every row."""
     docs = docs.select("doc_id", "text")
-    hot = hot_shingles(docs, size)
-    rows = stage(signed_sets(docs, hot, size, percent))
+    ranks = shingle_ranks(docs, size)
+    rows = stage(signed_sets(docs, ranks, size, percent))
     least = rows.groupBy(F.col("set_id").alias("node")).agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
     least = stage(least.where("node IS NOT NULL"))
     # a set that occurs once has one row of its shingles; of the others every task has shown one
     often = least.where("times > 1").select(F.col("node").alias("set_id"), "times")
     prefixes = rows.where("prefix IS NOT NULL").join(often, "set_id", "left").select(
-        F.posexplode("prefix").alias("pos", "bucket"), F.col("set_id").alias("node"), F.coalesce("times", F.lit(1)).alias("times"))
-    multi = stage(shared(prefixes, ["pos"]).join(least.select("node", "n"), "node"))
+        F.posexplode("prefix").alias("pos", "bucket"), F.col("set_id").alias("node"), F.coalesce("times", F.lit(1)).alias("times"), "n")
+    multi = shared(prefixes)
     profiles = rows.where("prefix IS NOT NULL").select(F.col("set_id").alias("node"), "profile", "n")
     profiles = stage(profiles.join(multi.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
@@ -247,7 +247,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
         near = stage(possible(pairs, profiles, percent))
         ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         wanted = stage(least.join(ends, "node", "left_semi").select("node", F.xxhash64("doc_id").alias("k")))
-        return verified(near, stage(whole_sets(docs, wanted, hot, size)), percent)
+        return verified(near, stage(whole_sets(docs, wanted, ranks, size)), percent)
 
     # nothing before the first shared shingle is shared, so what follows it must hold the whole overlap
     similar = f"{100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)"
